@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, token_counts, topk, url_filter
+from tracewright.llm import bpe, decontaminate, token_counts, topk, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -70,10 +70,36 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=8, min_items=2)
+
+
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS gram
+  FROM (SELECT item_id, w, least(8, len(w)) AS n, unnest(generate_series(1, len(w) - least(8, len(w)) + 1)) AS s FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)
+), found AS (SELECT DISTINCT doc_id, s, g.n, item_id FROM grams g JOIN windows USING (n, gram)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filter, op7_top_k, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filter, op7_top_k, op8_decontaminate, op10_byte_bpe)}
 
-ORACLES = {"op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL}
+ORACLES = {"op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL, "op8_decontaminate": OP8_SQL}
