@@ -13,6 +13,7 @@ from tracewright.llm import bpe, token_counts
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.parse_ranks(bpe.read_rank_file(PATH))
 OWN = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+COUNTS = token_counts.counter(bpe.read_rank_file(PATH), public_tokenizers.PATTERN)
 LIB = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 TEXT = st.text(st.one_of(st.sampled_from("ab  \n\tthe'sé9!😀"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
@@ -39,7 +40,7 @@ def test_counts_after_edits(text, raw):
         if start >= at and (not edits or start > at or edits[-1][1] < start):
             edits.append((start, end, new))
             at = end
-    counted = token_counts.CountedText(text, OWN)
+    counted = token_counts.CountedText(text, COUNTS)
     assert counted.n_tokens == len(LIB.encode_ordinary(text))
     after = counted.edit(edits)
     expected = text
@@ -49,9 +50,15 @@ def test_counts_after_edits(text, raw):
     assert counted.tree.total() == len(LIB.encode_ordinary(after))
 
 
+def test_masks():
+    text = "a@b 12345 x.y@z-1.co.uk, 99999@1.com @@ q@w.e@r.t 1234 a@b.c12345"
+    edits = token_counts.mask_private(text)
+    assert [text[a:b] for a, b, _ in edits] == ["12345", "x.y@z-1.co.uk", "99999@1.com", "q@w.e", "a@b.c12345"]
+
+
 def test_edit_touches_little():
     text = "one two three " * 5_000
-    counted = token_counts.CountedText(text, OWN)
+    counted = token_counts.CountedText(text, COUNTS)
     after = counted.edit([(30_000, 30_003, "four five")])
     assert counted.tree.total() == len(LIB.encode_ordinary(after))
     assert counted.n_reencoded < 12

@@ -12,28 +12,49 @@ A narrow map over the rows: no shuffle, one batch of documents in memory.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
-from tracewright.llm.bpe import Codec, codec, read_rank_file
+from tracewright.llm.bpe import CACHED_CHARS, CACHED_PIECES, parse_ranks, read_rank_file
 from tracewright.llm.common import as_text, session
 
 OUT = "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long, n_chars_after long"
 
 #: What the default edits mask: e-mail addresses, and runs of five and more digits.
-PRIVATE = regex.compile(r"(?P<mail>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)|[0-9]{5,}")
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+NUMBER = re.compile(r"[0-9]{5,}")
 
 Edit = tuple[int, int, str]
 
 
 def mask_private(text: str) -> list[Edit]:
-    """The default edits: masks for e-mail addresses and long numbers."""
-    return [(m.start(), m.end(), "<mail>" if m["mail"] else "<number>") for m in PRIVATE.finditer(text)]
+    """The default edits: masks for e-mail addresses and for long numbers outside them."""
+    mails, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            last = domain.end()
+            mails.append((start, last, "<mail>"))
+        at = text.find("@", max(at + 1, last))
+    numbers = [(m.start(), m.end(), "<number>") for m in NUMBER.finditer(text)]
+    if not mails:
+        return numbers
+    starts = [m[0] for m in mails]
+    apart = [x for x in numbers if not (i := bisect_right(starts, x[1] - 1)) or mails[i - 1][1] <= x[0]]
+    return sorted(mails + apart)
 
 
 class SumTree:
@@ -41,29 +62,62 @@ class SumTree:
 
     def __init__(self, leaves: list[int]) -> None:
         self.width = 1 << max(0, len(leaves) - 1).bit_length()
-        self.node = [0] * self.width + leaves + [0] * (self.width - len(leaves))
-        for i in range(self.width - 1, 0, -1):
-            self.node[i] = self.node[2 * i] + self.node[2 * i + 1]
+        self.node = np.zeros(2 * self.width, np.int64)
+        self.node[self.width : self.width + len(leaves)] = leaves
+        at = self.width
+        while at > 1:
+            self.node[at >> 1 : at] = self.node[at : 2 * at : 2] + self.node[at + 1 : 2 * at : 2]
+            at >>= 1
 
     def total(self) -> int:
-        return self.node[1]
+        return int(self.node[1])
 
     def put(self, leaf: int, value: int) -> None:
         i = self.width + leaf
-        change = value - self.node[i]
+        change = int(value - self.node[i])
         while change and i:
             self.node[i] += change
             i >>= 1
 
 
+class Counts(dict):
+    """Piece to its number of tokens; misses are encoded by the tokenizer's library, and kept if short.
+
+    When full, the older half of the pieces goes.
+    """
+
+    def __init__(self, raw: bytes, pattern: str) -> None:
+        super().__init__()
+        self.split = regex.compile(pattern)
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(raw), special_tokens={})
+        self.older: dict[str, int] = {}
+
+    def __missing__(self, piece: str) -> int:
+        n = self.older.get(piece)
+        if n is None:
+            n = len(self.library.encode_ordinary(piece))
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = n
+        return n
+
+
+@lru_cache(maxsize=2)
+def counter(raw: bytes, pattern: str) -> Counts:
+    """One per worker process, whose pieces live on between tasks."""
+    return Counts(raw, pattern)
+
+
 class CountedText:
     """A text with its pre-tokens' counts. edit() takes edits of the original text, in order and without overlap."""
 
-    def __init__(self, text: str, own: Codec) -> None:
+    def __init__(self, text: str, own: Counts) -> None:
         self.text, self.own = text, own
         pieces = own.split.findall(text)
         self.ends = list(accumulate(map(len, pieces)))
-        self.tree = SumTree([len(own.pieces[p]) >> 2 for p in pieces])
+        self.tree = SumTree(list(map(own.__getitem__, pieces)))
         self.n_tokens = self.tree.total()
         self.n_reencoded = 0
 
@@ -87,7 +141,7 @@ class CountedText:
         if not n:
             pieces = self.own.split.findall(changed)
             self.n_reencoded += len(pieces)
-            self.tree.put(0, sum(len(self.own.pieces[p]) >> 2 for p in pieces))
+            self.tree.put(0, sum(map(self.own.__getitem__, pieces)))
             return changed
         k = 0
         while k < len(edits):
@@ -96,7 +150,7 @@ class CountedText:
             count, last = 0, n
             while pos < len(changed):
                 m = self.own.split.match(changed, pos)
-                count += len(self.own.pieces[m[0]]) >> 2
+                count += self.own[m[0]]
                 self.n_reencoded += 1
                 pos = m.end()
                 while k + 1 < len(edits) and edits[k + 1][0] + offsets[k] < pos:
@@ -128,7 +182,7 @@ def count_with_edits(df: DataFrame, rank_file: str, pattern: str, edits: Callabl
     raw = spark.sparkContext.broadcast(read_rank_file(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(raw.value, pattern)
+        own = counter(raw.value, pattern)
         for batch in batches:
             rows = []
             for text in as_text(batch.column("text")):
