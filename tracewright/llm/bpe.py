@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from tracewright.llm.common import as_text, session
 #: Bound of the rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
 #: Pieces kept per worker, and the longest that is kept.
-CACHED_PIECES, CACHED_CHARS = 300_000, 128
+CACHED_PIECES, CACHED_CHARS = 400_000, 128
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -57,47 +58,39 @@ class Merger:
         n = len(piece)
         if n == 0:
             return []
+        get, none = ranks.get, 1 << 62
         width = 1 << (n - 1).bit_length()
-        none = 1 << 62
+        # Leaf i is at width + i: the rank of the pair that starts at byte i, times width, plus i.
         tree = [none] * (2 * width)
-        after, before = list(range(1, n + 1)), list(range(-1, n))
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
                 tree[width + i] = rank * width + i
         for node in range(width - 1, 0, -1):
             a, b = tree[2 * node], tree[2 * node + 1]
             tree[node] = a if a < b else b
-
-        def put(i: int, value: int) -> None:
-            node = width + i
-            tree[node] = value
-            node >>= 1
-            while node:
-                a, b = tree[2 * node], tree[2 * node + 1]
-                low = a if a < b else b
-                if tree[node] == low:
-                    return
-                tree[node] = low
-                node >>= 1
-
-        def pair(i: int) -> int:
-            j = after[i]
-            if j >= n:
-                return none
-            rank = ranks.get(piece[i : after[j]])
-            return none if rank is None else rank * width + i
-
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        mask = width - 1
         while (low := tree[1]) != none:
-            i = low % width
+            i = low & mask
             j = after[i]
-            k = after[j]
-            after[i] = k
+            k = after[i] = after[j]
             before[k] = i
-            put(j, none)
-            put(i, pair(i))
-            if before[i] >= 0:
-                put(before[i], pair(before[i]))
+            h = before[i]
+            for leaf in (j, i, h) if h >= 0 else (j, i):
+                value = none
+                if leaf != j and (end := after[leaf]) < n:
+                    rank = get(piece[leaf : after[end]])
+                    if rank is not None:
+                        value = rank * width + leaf
+                node = width + leaf
+                while tree[node] != value:
+                    tree[node] = value
+                    node >>= 1
+                    if not node:
+                        break
+                    a, b = tree[2 * node], tree[2 * node + 1]
+                    value = a if a < b else b
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -106,16 +99,23 @@ class Merger:
 
 
 class Pieces(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers; misses are encoded, and kept if short."""
+    """Piece to its ids as little-endian unsigned 32-bit integers; misses are encoded, and kept if short.
+
+    When full, the older half of the pieces goes; those that come up again move to the newer half.
+    """
 
     def __init__(self, merger: Merger) -> None:
         super().__init__()
-        self.merger = merger
+        self.merger, self.older = merger, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merger.ids(piece.encode()), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.merger.ids(piece.encode())
+            ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
