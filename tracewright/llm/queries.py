@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, decontaminate, token_counts, topk, url_filter
+from tracewright.llm import bpe, decontaminate, simhash, token_counts, topk, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: (host, path, verdict) of the production filter.
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -100,6 +104,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_url_filter, op7_top_k, op8_decontaminate, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_url_filter, op7_top_k, op8_decontaminate, op10_byte_bpe)}
 
 ORACLES = {"op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL, "op8_decontaminate": OP8_SQL}
