@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, decontaminate, langid, simhash, token_counts, topk, url_filter
+from tracewright.llm import bpe, decontaminate, kneser_ney, langid, simhash, token_counts, topk, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -55,6 +55,10 @@ FROM hosts h LEFT JOIN fits f ON h.page_id = f.page_id AND f.n = 1
 """
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -108,6 +112,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_url_filter, op6_language_id, op7_top_k, op8_decontaminate, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_url_filter, op5_kneser_ney, op6_language_id, op7_top_k, op8_decontaminate, op10_byte_bpe)}
 
 ORACLES = {"op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL, "op8_decontaminate": OP8_SQL}
