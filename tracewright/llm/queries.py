@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, decontaminate, kneser_ney, langid, line_dedup, simhash, token_counts, topk, url_filter
+from tracewright.llm import bpe, decontaminate, kneser_ney, langid, line_dedup, simhash, suffix_dedup, token_counts, topk, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -116,6 +120,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_url_filter, op5_kneser_ney, op6_language_id, op7_top_k, op8_decontaminate, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_url_filter, op5_kneser_ney, op6_language_id, op7_top_k, op8_decontaminate, op9_line_dedup, op10_byte_bpe)}
 
 ORACLES = {"op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL, "op8_decontaminate": OP8_SQL}
