@@ -231,6 +231,12 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_items: int
     return matches(docs, benchmark, width).mapInArrow(run, OUT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_items: int = 2) -> DataFrame:
+    """The rows of docs that report() doesn't call contaminated; rows with a null doc_id stay."""
+    bad = report(docs, benchmark, width, min_items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+
+
 def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     """doc_id, start, end (word positions, end exclusive) of spans of at most `within` words that hold all terms."""
     wanted = Hashes().of([w for t in terms for w in alnum_words(t.encode())])
