@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 
@@ -26,16 +25,17 @@ def brute(docs):
     earlier, out = [], []
     for d, text in sorted(docs):
         lines = (text or "").split("\n")
-        kept = []
-        for line in lines:
+        kept, gone = [], []
+        for number, line in enumerate(lines):
             w = words(line)
             if w and any(w == e or max(len(w), len(e)) >= ld.MIN_WORDS and distance(w, e) <= 1 for e in earlier):
                 earlier.append(w)
+                gone.append(number)
                 continue
             if w:
                 earlier.append(w)
             kept.append(line)
-        out.append((d, 0 if text is None else len(lines), len(lines) - len(kept) if text else 0, hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        out.append((d, 0 if text is None else len(lines), len(gone), gone, "\n".join(kept)))
     return sorted(out)
 
 
@@ -49,10 +49,10 @@ def test_halves_meet():
     for n in range(ld.MIN_WORDS, 400):
         for m in (n - 1, n):
             common = (max(n, m) - 1 + 1) // 2
-            assert any(g <= common for g in set(ld.half_sizes(n)) & set(ld.half_sizes(m)))
+            assert any(g <= common or g <= 2 and n <= 4 for g in ld.half_sizes(n) & ld.half_sizes(m))
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     base = [[rng.choice("abcde") for _ in range(rng.randint(1, 9))] for _ in range(25)]
 
@@ -69,7 +69,11 @@ def test_against_brute_force(spark):
     docs = [(1000 - i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(60)]
     docs += [(2000, None), (2001, ""), (2002, "\n\n \n"), (2003, " ".join(["x", "y"] * 900)), (2004, " ".join(["x", "y"] * 900 + ["z"]))]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as key", "2 as n_lines").repartition(3)
-    assert sorted(map(tuple, ld.report(df).collect())) == brute(docs)
+    want = brute(docs)
+    assert sorted(map(tuple, ld.report(df).collect())) == [r[:4] for r in want]
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in ld.dedup(df, keep="all").collect()) == [(*r[:3], r[4]) for r in want]
+    monkeypatch.setattr(ld, "AT_ONCE", 40)
+    assert sorted(map(tuple, ld.report(df).collect())) == [r[:4] for r in want]
 
 
 def test_documents_left(spark):

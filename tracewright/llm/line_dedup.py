@@ -6,17 +6,18 @@ line itself and, for each of its words, the line without it, as hashed keys. Two
 - they lose the word at the same place and are equal then (substitution), or
 - one is equal to the other without one word (insertion, deletion).
 
-So keys carry the place of the deleted word, and a group of equal keys holds only lines within the bound. Of each group
-only the earliest line is kept as an aggregate, combined before the shuffle; no pairs are made, so a group of any size
-costs one row a task. Earliest is by doc_id, then by place in the document.
+A line is removed if an earlier line of the corpus is equal or within the bound, whether or not that one is removed
+itself; earlier is by doc_id, then by place in the document. So of each group of equal variants only the earliest line
+matters: it is the witness for all others. A task settles its own groups and sends one entry a group, so a group of any
+size costs one entry a task, and no pairs are made.
 
 Exact copies are folded first. Then lines that cannot have a neighbour are dropped from the join by a sound filter: two
 lines within one edit have at least half of the shorter one's words in common at the start or at the end, so a line
-whose start and end of that length (on a coarse grid of lengths) both occur in no other distinct line is alone.
+whose start and end of that length (on a coarse grid of lengths) occur in no other distinct line is alone.
 
-A line is removed if an earlier line of the corpus is equal or within the bound, whether or not that one is removed
-itself. Before a line goes, the words of it and of its witness are compared (edit distance), so a collision of hashes
-keeps a line rather than losing one.
+What is left is sorted by place, and its variants go through the shuffle as packed arrays: hash, place of the lost word,
+number of the line. Before a line goes, its words and its witness's are compared (edit distance), so a collision of
+hashes keeps a line rather than losing one.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, cut, session
+from tracewright.llm.common import LOWER, as_bytes, session, stored
 from tracewright.llm.words import Hashes, space_words
 
 #: Lines of fewer words only match exactly: one edit in five words leaves a similarity of 0.8.
@@ -53,134 +54,245 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Rolling:
-    """Prefix sums of a line's word hashes: sum of h[j] * BASE**j."""
+class Lines:
+    """Word hashes of many lines in a row, with prefix sums: the hash of any part of a line in two steps.
 
-    def __init__(self, words: np.ndarray, up: np.ndarray, down: np.ndarray) -> None:
-        self.n, self.down = len(words), down
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)])])
+    starts has one entry more than there are lines; every line has words.
+    """
 
-    def part(self, a: int, b: int) -> np.ndarray:
-        """Hash of words a to b."""
-        return _mix(np.atleast_1d((self.sums[b] - self.sums[a]) * self.down[a] + np.uint64(b - a)))
+    def __init__(self, words: np.ndarray, starts: np.ndarray) -> None:
+        self.words, self.starts = words, starts
+        self.first, self.last = starts[:-1], starts[1:]
+        self.up, self.down = _powers(len(words) + 1)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * self.up[: len(words)])])
 
-    def without_each(self) -> np.ndarray:
-        """Hashes of the line without word 0, 1, ..."""
-        return _mix(self.sums[:-1] + (self.sums[-1] - self.sums[1:]) * self.down[1] + np.uint64(self.n - 1))
+    def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
 
     def whole(self) -> np.ndarray:
-        return _mix(np.atleast_1d(self.sums[-1] + np.uint64(self.n)))
+        return self.part(self.first, self.last)
 
+    def without_each(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word: the hash of its line without it, its line, and its place there."""
+        n = self.last - self.first
+        line = np.repeat(np.arange(len(n)), n)
+        a, b, i = self.first[line], self.last[line], np.arange(len(self.words))
+        rest = self.sums[i] - self.sums[a] + (self.sums[b] - self.sums[i + 1]) * self.down[1]
+        return _mix(rest * self.down[a] + (n[line] - 1).astype(np.uint64)), line, i - a
 
-def half_sizes(n: int) -> list[int]:
-    """Grid lengths at which a line of n words shows its start and end: shared with all lines of n - 1 to n + 1 words."""
-    at = {max(g for g in GRID if g <= max(m // 2, GRID[0])) for m in (n, n + 1)}
-    return sorted(g for g in at if g <= n)
+    def halves(self) -> list[np.ndarray]:
+        """For each line the hashes of its starts and ends of the lengths in half_sizes()."""
+        n = self.last - self.first
+        low, high = HALF[np.minimum(n, len(HALF) - 1)], HALF[np.minimum(n + 1, len(HALF) - 1)]
+        out = []
+        for g in (low, high):
+            size = np.minimum(g, n)
+            for h, sign in ((self.part(self.first, self.first + size), 1), (self.part(self.last - size, self.last), 2)):
+                out.append(_mix(h + (size * 4 + sign).astype(np.uint64)))
+        return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch], row) -> Iterator[pa.RecordBatch]:
-    """Runs row(out, doc_id, line number, word hashes) for each line that has a word."""
-    hashes = Hashes(1)
-    for batch in batches:
-        out: list[list] = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-            for number, line in enumerate(text.split(b"\n")):
-                words = space_words(line)
-                if words:
-                    row(out, doc, number, hashes.of(words))
-        yield out
+def _half_table(longest: int) -> np.ndarray:
+    """The largest grid length within half of each line length."""
+    n = np.arange(longest + 1) // 2
+    return np.array(GRID)[np.maximum(np.searchsorted(GRID, np.maximum(n, GRID[0]), "right") - 1, 0)]
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with words: key (hash of the words), doc_id, line, n words, and hashes of its parts."""
+#: Lines beyond this many words are filtered by the half of this many.
+HALF = _half_table(1 << 16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = _powers(1 << 10)
-
-        def row(out: list, doc: int, number: int, words: np.ndarray) -> None:
-            nonlocal up, down
-            if len(words) >= len(up):
-                up, down = _powers(2 * len(words))
-            r = Rolling(words, up, down)
-            halves = [x for g in half_sizes(len(words)) for x in (_half(r.part(0, g), g), _half(r.part(len(words) - g, len(words)), -g))] if len(words) >= MIN_WORDS - 1 else []
-            out.append((r.whole()[0].view(np.int64), doc, number, len(words), halves))
 
-        for rows in _lines(batches, row):
-            c = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.int64()))], names=["key", "doc_id", "line", "n", "halves"])
+def half_sizes(n: int) -> set[int]:
+    """Lengths at which a line of n words shows its start and end: one is in common with lines of n - 1 to n + 1 words."""
+    return {int(HALF[min(m, len(HALF) - 1)]) for m in (n, n + 1)}
 
-    return docs.mapInArrow(run, "key long, doc_id long, line int, n int, halves array<long>")
 
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """A row for each line with words: key (hash of the words), doc_id, line, n words, and the hashes of its halves."""
 
-def _half(h: np.ndarray, size: int) -> int:
-    return int(_mix(h + np.array([size], np.int64).view(np.uint64)).view(np.int64)[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes(1)
+        for batch in batches:
+            words, sizes, docs_of, numbers = [], [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                for number, line in enumerate(text.translate(LOWER).split(b"\n")):
+                    own = line.split()
+                    if own:
+                        words += own
+                        sizes.append(len(own))
+                        docs_of.append(doc)
+                        numbers.append(number)
+            n = np.array(sizes, np.int64)
+            lines = Lines(hashes.of(words), np.concatenate([[0], np.cumsum(n)]))
+            halves = np.stack(lines.halves(), 1).view(np.int64) if len(n) else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines.whole().view(np.int64)), pa.array(docs_of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n.astype(np.int32)), *(pa.array(halves[:, i]) for i in range(4))],
+                names=["key", "doc_id", "line", "n", "a", "b", "c", "d"],
+            )
+
+    return docs.mapInArrow(run, "key long, doc_id long, line int, n int, a long, b long, c long, d long")
 
 
 def _removals(docs: DataFrame, fuzzy: bool) -> DataFrame:
     """doc_id, line: what goes. docs has unique, non-null doc_ids."""
-    seen = _occurrences(docs)
+    seen = stored(_occurrences(docs))
     at = F.struct("doc_id", "line")
     # One row for each distinct line, with its earliest place.
-    distinct = cut(seen.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    limits = distinct.select("key", F.col("first").alias("least"), F.lit(False).alias("edited"))
+    distinct = stored(seen.groupBy("key").agg(F.min(F.struct("doc_id", "line", "n", "a", "b", "c", "d")).alias("x"), F.count("*").alias("copies")).select("key", "copies", "x.*"))
+    goes = distinct.filter("copies > 1").select("key", at.alias("first"))
     if fuzzy:
-        keyed = distinct.filter(F.size("halves") > 0).select("key", F.explode(F.array_distinct("halves")).alias("half"))
+        keyed = distinct.filter(F.col("n") >= MIN_WORDS - 1).select("key", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("half"))
         shared = keyed.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
         candidates = keyed.join(shared, "half").select("key").distinct()
-        wanted = distinct.join(candidates, "key").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
-        found = _verified(docs, _neighbours(docs, wanted))
-        limits = limits.unionByName(found.select("key", F.col("other").alias("least"), F.lit(True).alias("edited")))
-    # Of a line's own earliest place and its neighbours': later occurrences go.
-    least = limits.groupBy("key").agg(F.min("least").alias("least"), F.max("edited").alias("edited"))
-    least = least.join(distinct.select("key", "copies"), "key").filter("edited or copies > 1").select("key", "least")
-    return seen.select("key", "doc_id", "line").join(least, "key").filter(at > F.col("least")).select("doc_id", "line")
+        wanted = _lines_of(docs, distinct.join(candidates, "key").select("key", "doc_id", "line"))
+        edited = _verified(wanted, _witnessed(wanted)).withColumn("first", F.lit(None).cast("struct<doc_id:long,line:int>"))
+        goes = edited.unionByName(goes.join(edited.select("key"), "key", "left_anti"))
+    # Later copies of a line go, and all copies of a line with an earlier neighbour.
+    return seen.select("key", "doc_id", "line").join(goes, "key").filter(F.col("first").isNull() | (at > F.col("first"))).select("doc_id", "line")
 
 
-def _neighbours(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and other: for each wanted line (key, doc_id, line) the earliest place of a line one edit away, if earlier."""
-    numbers = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
+def _lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """part, number, key and text of the lines at places(key, doc_id, line); (part, number) is their order in the corpus."""
+    spark = docs.sparkSession
+    asked = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("asked"))
 
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = _powers(1 << 10)
-        hashes = Hashes(1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, own in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            rows = []
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
                 lines = text.split(b"\n")
-                for x in own:
-                    words = hashes.of(space_words(lines[x["line"]]))
-                    if len(words) >= len(up):
-                        up, down = _powers(2 * len(words))
-                    r = Rolling(words, up, down)
-                    h = np.concatenate([r.whole(), r.without_each()] if len(words) >= MIN_WORDS else [r.whole()]).view(np.int64)
-                    place = np.arange(-1, len(h) - 1, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(place), pa.array(np.full(len(h), x["key"])), pa.array(np.full(len(h), doc)), pa.array(np.full(len(h), x["line"], np.int32))], names=["h", "place", "key", "doc_id", "line"])
-
-    rows = docs.join(numbers, "doc_id").mapInArrow(variants, "h long, place int, key long, doc_id long, line int")
-    rows = cut(rows.select("h", "place", "key", F.struct("doc_id", "line").alias("at")))
-    # By key and place the earliest line, then per key of the whole lines and of those that lost a word.
-    groups = rows.groupBy("h", "place").agg(F.min("at").alias("least"), F.count("*").alias("c"))
-    own = groups.withColumn("whole", F.when(F.col("place") < 0, F.col("least"))).withColumn("lost", F.when(F.col("place") >= 0, F.col("least")))
-    w = Window.partitionBy("h")  # at most one row for each place in a line
-    own = own.withColumn("all_c", F.sum("c").over(w)).filter("all_c > 1")
-    own = own.withColumn("least", F.when(F.col("place") < 0, F.min("lost").over(w)).otherwise(F.least("least", F.min("whole").over(w)))).filter("least is not null")
-    hits = rows.join(own.select("h", "place", "least"), ["h", "place"]).filter(F.col("least") < F.col("at"))
-    return hits.groupBy("key").agg(F.min("least").alias("other"), F.min("at").alias("at"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (key, at, other) whose lines are at most one edit of a word apart."""
-    places = pairs.select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("at").alias("p")), F.struct(F.lit(1).alias("side"), F.col("other").alias("p")))).alias("s"), "other")
-    places = places.select("key", "other", "s.side", F.col("s.p.doc_id").alias("doc_id"), F.col("s.p.line").alias("line"))
-    asked = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "other", "side", "line")).alias("asked"))
-    lines = docs.join(asked, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a")).select("a.key", "a.other", "a.side", F.expr("lines[a.line]").alias("line"))
-    both = lines.groupBy("key", "other").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("y"))
+                rows += [(doc, x["line"], x["key"], lines[x["line"]]) for x in own]
+            c = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["doc_id", "line", "key", "text"])
+
+    found = stored(docs.join(asked, "doc_id").mapInArrow(run, "doc_id long, line int, key long, text binary"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = found.repartitionByRange(n, "doc_id", "line").sortWithinPartitions("doc_id", "line").withColumn("part", F.spark_partition_id())
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            own = pa.array(np.arange(at, at + batch.num_rows))
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("part"), own, batch.column("key"), batch.column("text")], names=["part", "number", "key", "text"])
+
+    return stored(ordered.mapInArrow(number, "part int, number long, key long, text binary"))
+
+
+def _settle(h: np.ndarray, place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of variants (place WHOLE: the line itself): pairs of a line and an earlier one of its group, and which variants
+    are the earliest of their hash and place."""
+    order = np.lexsort((rank, place, h))
+    h, place, rank = h[order], place[order], rank[order]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    new = new_h | np.concatenate([[True], place[1:] != place[:-1]])
+    first = np.flatnonzero(new)
+    least = np.repeat(rank[first], np.diff(np.append(first, len(h))))
+    later = rank > least
+    pairs = [(rank[later], least[later])]
+    # The whole line of a hash (its last place) and the earliest of those that became it.
+    of_h = np.flatnonzero(new_h)
+    size = np.diff(np.append(of_h, len(h)))
+    lost = np.where(place == WHOLE, NONE, rank)
+    whole = np.where(place == WHOLE, rank, NONE)
+    if len(h):
+        lost, whole_of = np.repeat(np.minimum.reduceat(lost, of_h), size), np.repeat(np.minimum.reduceat(whole, of_h), size)
+        x = (place == WHOLE) & (lost < rank)
+        pairs.append((rank[x], lost[x]))
+        x = (place != WHOLE) & (whole_of < rank)
+        pairs.append((rank[x], whole_of[x]))
+    return np.stack([np.concatenate(c) for c in zip(*pairs, strict=True)]), order[new]
+
+
+WHOLE, NONE = 65535, np.iinfo(np.int64).max
+#: Variants that a task settles at once; lines are numbered within parts by this many bits.
+AT_ONCE, NUMBER_BITS = 3_000_000, 40
+
+
+def _witnessed(wanted: DataFrame) -> DataFrame:
+    """late and early: lines (part and number in one) and an earlier line with an equal variant."""
+    spark = wanted.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    schema = "bucket int, h binary, place binary, rank binary, pairs binary"
+
+    def packed(bucket: int, h: np.ndarray, place: np.ndarray, rank: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h, place.astype(np.uint16), rank, pairs))], names=["bucket", "h", "place", "rank", "pairs"])
+
+    def unique(pairs: np.ndarray) -> np.ndarray:
+        """One witness, the earliest, for each line."""
+        o = np.lexsort((pairs[1], pairs[0]))
+        pairs = pairs[:, o]
+        return pairs[:, np.concatenate([[True], pairs[0][1:] != pairs[0][:-1]])[: pairs.shape[1]]]
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n = Hashes(1), [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            h, place, rank = (np.concatenate(x) for x in zip(*held, strict=True))
+            pairs, kept = _settle(h, place, rank)
+            h, place, rank = h[kept], place[kept], rank[kept]
+            none = np.zeros((2, 0), np.int64)
+            yield packed(int(h[0] % np.uint64(buckets)), h[:0], place[:0], rank[:0], unique(pairs))
+            at = np.concatenate([[0], np.searchsorted(h, cuts), [len(h)]])
+            for b in np.flatnonzero(np.diff(at)):
+                own = slice(at[b], at[b + 1])
+                yield packed(int(b), h[own], place[own], rank[own], none)
+
+        for batch in batches:
+            texts = [space_words(x) for x in as_bytes(batch.column("text"))]
+            if not texts:
+                continue
+            rank = batch.column("part").to_numpy().astype(np.int64) << NUMBER_BITS | batch.column("number").to_numpy()
+            size = np.array([len(x) for x in texts])
+            lines = Lines(hashes.of([w for x in texts for w in x]), np.concatenate([[0], np.cumsum(size)]))
+            h, line, place = lines.without_each()
+            long_enough = size[line] >= MIN_WORDS
+            held.append((np.concatenate([lines.whole(), h[long_enough]]), np.concatenate([np.full(len(size), WHOLE), np.minimum(place[long_enough], WHOLE - 1)]), np.concatenate([rank, rank[line[long_enough]]])))
+            n += len(held[-1][0])
+            if n > AT_ONCE:
+                yield from send()
+                held, n = [], 0
+        if held:
+            yield from send()
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def out() -> pa.RecordBatch:
+            h, place, rank, pairs = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            found = unique(np.concatenate([pairs, _settle(h, place.astype(np.int64), rank)[0]], axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["late", "early"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = batch.column("bucket")[i].as_py()
+                if bucket is not None and b != bucket:
+                    yield out()
+                    held = []
+                bucket = b
+                h, place, rank, pairs = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("h", np.uint64), ("place", np.uint16), ("rank", np.int64), ("pairs", np.int64)))
+                held.append((h, place, rank, pairs.reshape(2, -1)))
+        if held:
+            yield out()
+
+    dealt = wanted.mapInArrow(variants, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(settled, "late long, early long").groupBy("late").agg(F.min("early").alias("early"))
+
+
+def _verified(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key of the late lines that are at most one edit of a word away from their early ones."""
+    own = wanted.select((F.shiftleft(F.col("part").cast("long"), NUMBER_BITS).bitwiseOR(F.col("number"))).alias("rank"), "key", "text")
+    late = own.select(F.col("rank").alias("late"), "key", F.col("text").alias("x"))
+    early = own.select(F.col("rank").alias("early"), F.col("text").alias("y"))
+    both = pairs.join(late, "late").join(early, "early").select("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [within_one_edit(space_words(x), space_words(y)) for x, y in zip(as_bytes(batch.column("x")), as_bytes(batch.column("y")), strict=True)]
-            yield batch.filter(pa.array(near, pa.bool_()))
+            yield batch.select(["key"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(run, both.schema).select("key", "other")
+    return stored(both.mapInArrow(run, "key long"))
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -206,7 +318,7 @@ def dedup(docs: DataFrame, fuzzy: bool = True, keep: str = "nonempty") -> DataFr
     """
     session(docs)
     own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").filter("doc_id is not null and text is not null")
-    gone = cut(_removals(own, fuzzy)).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    gone = stored(_removals(own, fuzzy)).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
     kept = docs.drop("n_lines", "n_removed")
     out = kept.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
     lines = F.split("text", "\n")
@@ -219,6 +331,13 @@ def dedup(docs: DataFrame, fuzzy: bool = True, keep: str = "nonempty") -> DataFr
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and kept_sha256 (of the text that is left; null: empty) for each document."""
-    out = dedup(docs.select("doc_id", "text"), keep="all")
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_removed and removed (the numbers from 0 of the lines that go, ascending) for each document.
+
+    Without the texts, which dedup() returns: they need not go through a shuffle for this.
+    """
+    session(docs)
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    gone = _removals(own.filter("doc_id is not null and text is not null"), True).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    lines = own.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = lines.join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
