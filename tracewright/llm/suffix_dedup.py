@@ -34,7 +34,7 @@ from tracewright.llm.common import as_bytes, cut, session
 
 LENGTH, GRAM = 400, 200
 #: Bytes of a block that is suffix-sorted, and runs of an anchor beyond which it is dealt out.
-BLOCK_BYTES, BLOCK_RUNS = 3_000_000, 3000
+BLOCK_BYTES, BLOCK_RUNS = 1_000_000, 1500
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
