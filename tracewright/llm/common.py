@@ -47,10 +47,39 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder, compressed, and read from there: cuts lineage with less disk than cut()."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    """df written once to the shared folder, compressed, and read from there: cuts lineage with less disk than cut().
+
+    The files stay until release(), as a DataFrame that is still to run may read them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    keep_until_release(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_until_release(spark: SparkSession, path: str) -> None:
+    """Notes a path in the shared folder for release()."""
+    held = getattr(spark.sparkContext, "_tracewright_held", None)
+    if held is None:
+        held = spark.sparkContext._tracewright_held = []
+    held.append(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """A point in time for release()."""
+    return len(getattr(spark.sparkContext, "_tracewright_held", []))
+
+
+def release(spark: SparkSession, start: int, end: int) -> None:
+    """Deletes what was stored between two marks. Only when nothing that is still to run reads it."""
+    held = getattr(spark.sparkContext, "_tracewright_held", [])
+    jvm = spark.sparkContext._jvm
+    for i in range(start, min(end, len(held))):
+        if held[i]:
+            path = jvm.org.apache.hadoop.fs.Path(held[i])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            held[i] = None
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

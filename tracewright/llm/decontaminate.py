@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, session, shared_dir
+from tracewright.llm.common import as_bytes, keep_until_release, session, shared_dir
 from tracewright.llm.words import Hashes, alnum_words
 
 #: Words a block (a longer document is a block of its own), and bytes of test items that are broadcast at once.
@@ -130,7 +130,9 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
         if ids:
             yield block()
 
-    path = path or f"{shared_dir(spark)}/positional-index-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_dir(spark)}/positional-index-{uuid.uuid4().hex}"
+        keep_until_release(spark, path)
     docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
     return open_index(spark, path)
 
