@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, cut, session
+from tracewright.llm.common import as_bytes, session, stored
 
 LENGTH, GRAM = 400, 200
 #: Bytes of a block that is suffix-sorted, and runs of an anchor beyond which it is dealt out.
@@ -220,11 +220,11 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     keyed = _keyed(docs)
     found = keyed.mapInArrow(run, "d long, r long, key long, whole long, first int, last int")
     shared = found.groupBy("key").agg(F.count("*").alias("c"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("c > 1")
-    here = cut(found.join(shared.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"))
+    here = stored(found.join(shared.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"))
     alike = here.filter("alike").select("d", "r", "first", "last")
     mixed = here.filter("not alike").drop("alike")
     place = F.struct("d", "r", "first", "last")
-    distinct = cut(mixed.groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(place).alias("at")))
+    distinct = stored(mixed.groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(place).alias("at")))
     several = mixed.join(distinct.filter("c > 1").select("key", "whole"), ["key", "whole"]).select("d", "r", "first", "last")
 
     sizes = distinct.groupBy("key").agg(F.count("*").alias("n"))
@@ -277,7 +277,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         if held:
             yield out()
 
-    sorted_blocks = cut(dealt.mapInArrow(sort_blocks, "d long, r long, first int, last int, dealt boolean, h long, g long, wants boolean"))
+    sorted_blocks = stored(dealt.mapInArrow(sort_blocks, "d long, r long, first int, last int, dealt boolean, h long, g long, wants boolean"))
     within = sorted_blocks.filter("not dealt").select("d", "r", "first", "last")
     strings = sorted_blocks.filter("dealt")
     across = strings.groupBy("h", "g").agg(F.count("*").alias("c")).filter("c > 1").select("h", "g")
