@@ -206,7 +206,7 @@ def _settle(h: np.ndarray, place: np.ndarray, rank: np.ndarray) -> tuple[np.ndar
 
 WHOLE, NONE = 65535, np.iinfo(np.int64).max
 #: Variants that a task settles at once; lines are numbered within parts by this many bits.
-AT_ONCE, NUMBER_BITS = 3_000_000, 40
+AT_ONCE, NUMBER_BITS = 1_000_000, 40
 
 
 def _witnessed(wanted: DataFrame) -> DataFrame:
