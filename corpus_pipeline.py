@@ -7,21 +7,23 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, decontaminate, langid, line_dedup, simhash
-from tracewright.llm.common import shared_dir
+from tracewright.llm.common import mark, release, shared_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without any letter go."""
-    named = langid.identify(docs).filter("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi").select(*docs.columns)
+    model = langid.fit(*langid.sample(docs))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("words"))
+    return langid.predict(rows, model, "words").filter("lang_pred <> 'und'").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +50,29 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("lines", lines),
-    ("near_duplicates", near_duplicates),
-    ("benchmarks", benchmarks),
-    ("encoding", encoding),
-]
+
+
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, first deleting what earlier stages stored on the way: their results have been written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for app, start, end in HELD:
+            if app == spark.sparkContext.applicationId:
+                release(spark, start, end)
+        HELD.clear()
+        start = mark(spark)
+        out = stage(spark, docs, sf_dir)
+        HELD.append((spark.sparkContext.applicationId, start, mark(spark)))
+        return out
+
+    return run_stage
+
+
+#: What the latest stage has stored on its way, as marks.
+HELD: list[tuple[str, int, int]] = []
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [(f.__name__, staged(f)) for f in (language, lines, near_duplicates, benchmarks, encoding)]
 
 #: Classifiers, fingerprints and encodings are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
