@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.probability import argmax, log_loss, softmax, total
 
-#: Temperatures of one round, and rounds: each narrows the bracket by a factor of about 32.
-GRID, ROUNDS, LOW, HIGH = 64, 7, 0.05, 20.0
+#: Temperatures of one round, and rounds: each narrows the bracket by a factor of about 12.
+GRID, ROUNDS, LOW, HIGH = 24, 9, 0.05, 20.0
 
 
 def validate_logits(df: DataFrame) -> int:

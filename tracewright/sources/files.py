@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Line numbers need whole files; very large logs are better tailed (tracewright.streaming.tail) or split beforehand.
     """
     whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("n", "text"))
+    lines = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n|\r")).alias("n", "text"))
     return lines.select("path", (F.col("n") + 1).alias("line"), "text")
 
 
