@@ -26,7 +26,7 @@ from tracewright.llm.common import as_text, session
 #: Bound of the rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
 #: Pieces kept per worker, and the longest that is kept.
-CACHED_PIECES, CACHED_CHARS = 400_000, 128
+CACHED_PIECES, CACHED_CHARS = 200_000, 128
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text handed to a Python worker at once; documents are long and uneven.
-BATCH_ROWS, BATCH_BYTES = "2000", "16m"
+BATCH_ROWS, BATCH_BYTES = "500", "4m"
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

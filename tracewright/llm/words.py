@@ -11,7 +11,7 @@ from tracewright.llm.common import LOWER
 ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
 #: Words kept per worker.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 
 
 class Hashes(dict):
