@@ -219,7 +219,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spark = session(docs)
     keyed = _keyed(docs)
     found = keyed.mapInArrow(run, "d long, r long, key long, whole long, first int, last int")
-    shared = found.groupBy("key").agg(F.count("*").alias("c"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("c > 1")
+    # Stored, so that the join deals out both sides anew and Spark can split the runs of a frequent anchor.
+    shared = stored(found.groupBy("key").agg(F.count("*").alias("c"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("c > 1"))
     here = stored(found.join(shared.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"))
     alike = here.filter("alike").select("d", "r", "first", "last")
     mixed = here.filter("not alike").drop("alike")
