@@ -27,7 +27,8 @@ def read_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = read_lines(spark, paths).filter(strip(F.col("text")) != "")
     record = F.try_parse_json("text")
     bad = lambda what: F.raise_error(F.concat(F.lit(f"{what} in "), F.col("path"), F.lit(" line "), F.col("line").cast("string")))
-    checked = F.when(record.isNull(), bad("invalid JSON").cast("variant")).when(~F.startswith(F.schema_of_variant(record), F.lit("OBJECT")), bad("no JSON object").cast("variant")).otherwise(record)
+    # Blank lines are named here too: the optimizer may evaluate this before the filter.
+    checked = F.when(strip(F.col("text")) == "", F.lit(None).cast("variant")).when(record.isNull(), bad("invalid JSON").cast("variant")).when(~F.startswith(F.schema_of_variant(record), F.lit("OBJECT")), bad("no JSON object").cast("variant")).otherwise(record)
     return rows.select("path", "line", checked.alias("record"), "text")
 
 
