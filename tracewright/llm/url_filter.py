@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import session
 
-#: Splitters come from so many urls a bucket, the lowest by hash.
+#: Splitters come from about so many urls a bucket, those of the lowest hashes.
 SAMPLE_PER_BUCKET = 64
 
 OUT = "page_id long, host string, path string, rule string, verdict string"
@@ -53,7 +53,12 @@ def _bytes(x: str | None) -> bytes:
 
 
 def _splitters(urls: DataFrame, buckets: int) -> list[tuple[bytes, bytes, int]]:
-    rows = urls.select("key", "path", "page_id", F.xxhash64("page_id", "key", "path").alias("h")).orderBy("h", "key", "path").limit(SAMPLE_PER_BUCKET * buckets).collect()
+    """Keys that cut a sample of about SAMPLE_PER_BUCKET urls a bucket evenly. Few urls need no cuts."""
+    wanted, n = SAMPLE_PER_BUCKET * buckets, urls.count()
+    if n < wanted:
+        buckets = max(1, n // SAMPLE_PER_BUCKET)
+    top = min(1.0, wanted / max(1, n)) * 2.0**64 - 2.0**63
+    rows = urls.filter(F.xxhash64("page_id", "key", "path").cast("double") <= top).select("key", "path", "page_id").distinct().collect()
     points = sorted((_bytes(r.key), _bytes(r.path), r.page_id or 0) for r in rows)
     return sorted({points[i * len(points) // buckets] for i in range(1, buckets)}) if points else []
 
