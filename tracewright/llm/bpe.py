@@ -26,7 +26,7 @@ from tracewright.llm.common import as_text, session
 #: Bound of the rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
 #: Pieces kept per worker, and the longest that is kept.
-CACHED_PIECES, CACHED_CHARS = 200_000, 128
+CACHED_PIECES, CACHED_CHARS = 250_000, 128
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -125,7 +125,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.split = regex.compile(pattern)
         self.pieces = Pieces(Merger(ranks))
-        self.token = {rank: token for token, rank in ranks.items()}
+        self.token: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.token[rank] = token
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
