@@ -226,7 +226,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     mixed = here.filter("not alike").drop("alike")
     place = F.struct("d", "r", "first", "last")
     distinct = stored(mixed.groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(place).alias("at")))
-    several = mixed.join(distinct.filter("c > 1").select("key", "whole"), ["key", "whole"]).select("d", "r", "first", "last")
+    # Joins with frequent keys are stored on their own: within a larger plan Spark does not split them.
+    several = stored(mixed.join(distinct.filter("c > 1").select("key", "whole"), ["key", "whole"]).select("d", "r", "first", "last"))
 
     sizes = distinct.groupBy("key").agg(F.count("*").alias("n"))
     wanted = distinct.join(sizes, "key").select("key", "n", (F.col("c") == 1).alias("open"), "at.*")
@@ -281,8 +282,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     sorted_blocks = stored(dealt.mapInArrow(sort_blocks, "d long, r long, first int, last int, dealt boolean, h long, g long, wants boolean"))
     within = sorted_blocks.filter("not dealt").select("d", "r", "first", "last")
     strings = sorted_blocks.filter("dealt")
-    across = strings.groupBy("h", "g").agg(F.count("*").alias("c")).filter("c > 1").select("h", "g")
-    across = strings.filter("wants").join(across, ["h", "g"]).select("d", "r", "first", "last")
+    across = stored(strings.groupBy("h", "g").agg(F.count("*").alias("c")).filter("c > 1").select("h", "g"))
+    across = stored(strings.filter("wants").join(across, ["h", "g"]).select("d", "r", "first", "last"))
     return alike.unionByName(several).unionByName(within).unionByName(across)
 
 
