@@ -29,16 +29,18 @@ def brute(rows):
     cut = lambda n, d: max(0, n - d[min(n, 3) - 1]) if n else 0
     total, v_size, n_all = sum(before.values()), len(c1), sum(c1.values())
 
+    gamma = sum(min(x, d1[min(x, 3) - 1]) for x in before.values()) / total if total else 1
+    left = {v: (sum(own.values()), sum(d2[min(x, 3) - 1] for x in own.values())) for v, own in follow.items()}
+
     def p1(w):
-        gamma = sum(min(x, d1[min(x, 3) - 1]) for x in before.values()) / total if total else 1
         return (cut(before[w], d1) / total if total else 0) + gamma / (v_size + 1)
 
     def p2(v, w):
         own = follow.get(v)
         if not own:
             return p1(w)
-        c = sum(own.values())
-        return cut(own.get(w, 0), d2) / c + sum(d2[min(x, 3) - 1] for x in own.values()) / c * p1(w)
+        c, held = left[v]
+        return cut(own.get(w, 0), d2) / c + held / c * p1(w)
 
     out = []
     for d, t in rows:
