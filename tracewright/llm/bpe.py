@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewright.llm.common import as_text, session
+from tracewright.llm.common import as_text, session, tidy
 
 #: Bound of the rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
@@ -160,7 +160,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> D
             ids = [np.frombuffer(own.encode(x), "<i4") for x in as_text(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
@@ -176,7 +176,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
             out = [b"".join(own.token[x] for x in row or ()) for row in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def digests(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -195,4 +195,4 @@ def digests(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, OUT)
+    return df.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), OUT)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,11 +23,46 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def session(df: DataFrame) -> SparkSession:
     """The session of df, set to hand text to Python in bounded batches."""
     spark = df.sparkSession
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:  # the session may be older than this module, and its workers need it
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, *known) if x)
     for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
     return spark
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in a worker that gives memory back: workers outlive their tasks.
+
+    Large arrays are mapped on their own rather than kept in the heap, and what is free is returned when the task ends.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        if libc:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else follows the largest array freed
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc:
+                libc.malloc_trim(0)
+
+    return tidied
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    """The GNU C library, where that is the one in use."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") and hasattr(libc, "mallopt") else None
+    except OSError:
+        return None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

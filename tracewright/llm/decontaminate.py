@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, keep_until_release, session, shared_dir
+from tracewright.llm.common import as_bytes, keep_until_release, session, shared_dir, tidy
 from tracewright.llm.words import Hashes, alnum_words
 
 #: Words a block (a longer document is a block of its own), and bytes of test items that are broadcast at once.
@@ -133,7 +133,7 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     if path is None:
         path = f"{shared_dir(spark)}/positional-index-{uuid.uuid4().hex}"
         keep_until_release(spark, path)
-    docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
+    docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), INDEX).write.option("compression", "zstd").parquet(path)
     return open_index(spark, path)
 
 
@@ -186,7 +186,7 @@ def _search(index: DataFrame, items: list[tuple[str, str]], width: int) -> DataF
                 spans[d] += (a, b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(block.sizes), pa.array(spans, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
 
-    return index.mapInArrow(run, "doc_id long, n_words long, spans array<long>, items array<string>")
+    return index.mapInArrow(tidy(run), "doc_id long, n_words long, spans array<long>, items array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, index: DataFrame | None = None) -> DataFrame:
@@ -230,7 +230,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_items: int
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return matches(docs, benchmark, width).mapInArrow(run, OUT)
+    return matches(docs, benchmark, width).mapInArrow(tidy(run), OUT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_items: int = 2) -> DataFrame:
@@ -250,4 +250,4 @@ def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
             spans = spans - block.starts[doc][:, None]
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc], pa.int64()), pa.array(spans[:, 0]), pa.array(spans[:, 1] + 1)], names=["doc_id", "start", "end"])
 
-    return index.mapInArrow(run, "doc_id long, start long, end long").dropDuplicates()
+    return index.mapInArrow(tidy(run), "doc_id long, start long, end long").dropDuplicates()

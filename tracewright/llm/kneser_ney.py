@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import as_bytes, session, shared_dir
+from tracewright.llm.common import as_bytes, session, shared_dir, tidy
 from tracewright.llm.words import Hashes, space_words
 
 #: Tokens counted before a task packs and sends them.
@@ -230,8 +230,8 @@ def fit(docs: DataFrame, path: str | None = None) -> str:
             at = at[at < len(keys)]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(upto[-1])], pa.int64()), pa.array([at.astype(np.int64)], pa.list_(pa.int64())), pa.array([upto[at]], pa.list_(pa.int64()))], names=["bucket", "words", "tokens", "at", "upto"])
 
-    packed = texts.mapInArrow(words, PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = {r.bucket: r for r in packed.mapInArrow(keep_words, "bucket int, words long, tokens long, at array<long>, upto array<long>").collect()}  # a row a bucket
+    packed = texts.mapInArrow(tidy(words), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = {r.bucket: r for r in packed.mapInArrow(tidy(keep_words), "bucket int, words long, tokens long, at array<long>, upto array<long>").collect()}  # a row a bucket
     sizes = [found[b].words if b in found else 0 for b in range(buckets)]
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     if first[-1] >= UNKNOWN:
@@ -315,9 +315,9 @@ def fit(docs: DataFrame, path: str | None = None) -> str:
         if bucket is not None:
             yield keep()
 
-    counted = texts.mapInArrow(bigrams, PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    stats = counted.mapInArrow(keep_bigrams, "bucket int, kind int, ids binary, rows binary, of array<long>").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    rows = stats.mapInArrow(keep_stats, "before array<long>, of array<long>").collect()  # a row a bucket
+    counted = texts.mapInArrow(tidy(bigrams), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    stats = counted.mapInArrow(tidy(keep_bigrams), "bucket int, kind int, ids binary, rows binary, of array<long>").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    rows = stats.mapInArrow(tidy(keep_stats), "before array<long>, of array<long>").collect()  # a row a bucket
     before = np.sum([r.before for r in rows], 0) if rows else np.zeros(6, np.int64)
     of = np.sum([r.of for r in rows], 0) if rows else np.zeros(4, np.int64)
     meta |= {"d2": discounts([int(x) for x in of]), "d1": discounts([int(x) for x in before[:4]]), "before": [int(x) for x in (before[0], before[1], before[4], before[5])]}
@@ -410,7 +410,7 @@ def score(docs: DataFrame, path: str, held_out: str) -> DataFrame:
             n, known, base, total = scorer.texts(ids.of(own), np.cumsum([len(x) + 1 for x in own]) - 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(own), scorer.n), pa.int64()), pa.array(base), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", f"coalesce({held_out}, true) held_out", "cast(text as string) text").mapInArrow(run, OUT)
+    return docs.selectExpr("cast(doc_id as long) doc_id", f"coalesce({held_out}, true) held_out", "cast(text as string) text").mapInArrow(tidy(run), OUT)
 
 
 def score_corpus(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_text, session
+from tracewright.llm.common import as_text, session, tidy
 
 #: The bounds of the training sample, and the number of hashed n-grams.
 MAX_TRAIN, TRAIN_BYTES, FEATURES = 4000, 3000, 1 << 13
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names[i], scores[i], unsure[i] = m.langs[b], min(1.0, max(0.0, s)), a
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 4) = 2", max_train: int = MAX_TRAIN) -> DataFrame:

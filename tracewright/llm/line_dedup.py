@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, as_bytes, session, stored
+from tracewright.llm.common import LOWER, as_bytes, session, stored, tidy
 from tracewright.llm.words import Hashes, space_words
 
 #: Lines of fewer words only match exactly: one edit in five words leaves a similarity of 0.8.
@@ -130,7 +130,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 names=["key", "doc_id", "line", "n", "a", "b", "c", "d"],
             )
 
-    return docs.mapInArrow(run, "key long, doc_id long, line int, n int, a long, b long, c long, d long")
+    return docs.mapInArrow(tidy(run), "key long, doc_id long, line int, n int, a long, b long, c long, d long")
 
 
 def _removals(docs: DataFrame, fuzzy: bool) -> DataFrame:
@@ -165,7 +165,7 @@ def _lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             c = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["doc_id", "line", "key", "text"])
 
-    found = stored(docs.join(asked, "doc_id").mapInArrow(run, "doc_id long, line int, key long, text binary"))
+    found = stored(docs.join(asked, "doc_id").mapInArrow(tidy(run), "doc_id long, line int, key long, text binary"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = found.repartitionByRange(n, "doc_id", "line").sortWithinPartitions("doc_id", "line").withColumn("part", F.spark_partition_id())
 
@@ -176,7 +176,7 @@ def _lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             at += batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("part"), own, batch.column("key"), batch.column("text")], names=["part", "number", "key", "text"])
 
-    return stored(ordered.mapInArrow(number, "part int, number long, key long, text binary"))
+    return stored(ordered.mapInArrow(tidy(number), "part int, number long, key long, text binary"))
 
 
 def _settle(h: np.ndarray, place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,8 +276,8 @@ def _witnessed(wanted: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    dealt = wanted.mapInArrow(variants, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settled, "late long, early long").groupBy("late").agg(F.min("early").alias("early"))
+    dealt = wanted.mapInArrow(tidy(variants), schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidy(settled), "late long, early long").groupBy("late").agg(F.min("early").alias("early"))
 
 
 def _verified(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def _verified(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
             near = [within_one_edit(space_words(x), space_words(y)) for x, y in zip(as_bytes(batch.column("x")), as_bytes(batch.column("y")), strict=True)]
             yield batch.select(["key"]).filter(pa.array(near, pa.bool_()))
 
-    return stored(both.mapInArrow(run, "key long"))
+    return stored(both.mapInArrow(tidy(run), "key long"))
 
 
 def within_one_edit(a: list, b: list) -> bool:

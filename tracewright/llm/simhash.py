@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, cut, session
+from tracewright.llm.common import as_bytes, cut, session, tidy
 from tracewright.llm.components import components
 from tracewright.llm.words import space_words
 
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(x) for x in as_bytes(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -150,7 +150,7 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard_rows:
                 yield out(found)
         yield out(local_links(values, radius))
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, session, stored
+from tracewright.llm.common import as_bytes, session, stored, tidy
 
 LENGTH, GRAM = 400, 200
 #: Bytes of a block that is suffix-sorted, and runs of an anchor beyond which it is dealt out.
@@ -218,7 +218,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     spark = session(docs)
     keyed = _keyed(docs)
-    found = keyed.mapInArrow(run, "d long, r long, key long, whole long, first int, last int")
+    found = keyed.mapInArrow(tidy(run), "d long, r long, key long, whole long, first int, last int")
     # Stored, so that the join deals out both sides anew and Spark can split the runs of a frequent anchor.
     shared = stored(found.groupBy("key").agg(F.count("*").alias("c"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("c > 1"))
     here = stored(found.join(shared.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"))
@@ -245,7 +245,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     # One row of text for each name: repeated rows are alike.
     texts = keyed.join(asked, ["d", "r"]).dropDuplicates(["d", "r"])
-    bytes_of = texts.mapInArrow(spans, "key long, salt int, dealt boolean, open boolean, d long, r long, first int, span binary")
+    bytes_of = texts.mapInArrow(tidy(spans), "key long, salt int, dealt boolean, open boolean, d long, r long, first int, span binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = bytes_of.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "d", "r", "first")
 
@@ -279,7 +279,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         if held:
             yield out()
 
-    sorted_blocks = stored(dealt.mapInArrow(sort_blocks, "d long, r long, first int, last int, dealt boolean, h long, g long, wants boolean"))
+    sorted_blocks = stored(dealt.mapInArrow(tidy(sort_blocks), "d long, r long, first int, last int, dealt boolean, h long, g long, wants boolean"))
     within = sorted_blocks.filter("not dealt").select("d", "r", "first", "last")
     strings = sorted_blocks.filter("dealt")
     across = stored(strings.groupBy("h", "g").agg(F.count("*").alias("c")).filter("c > 1").select("h", "g"))
@@ -325,7 +325,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sizes.append(len(text))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "text", "spans", "n_bytes"])
 
-    return rows.mapInArrow(run, "doc_id long, text binary, spans array<long>, n_bytes long")
+    return rows.mapInArrow(tidy(run), "doc_id long, text binary, spans array<long>, n_bytes long")
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:

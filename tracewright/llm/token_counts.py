@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from tracewright.llm.bpe import CACHED_CHARS, CACHED_PIECES, parse_ranks, read_rank_file
-from tracewright.llm.common import as_text, session
+from tracewright.llm.common import as_text, session, tidy
 
 OUT = "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long, n_chars_after long"
 
@@ -193,4 +193,4 @@ def count_with_edits(df: DataFrame, rank_file: str, pattern: str, edits: Callabl
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_tokens_after", "n_chars_after"])
 
-    return df.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, OUT)
+    return df.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), OUT)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, session
+from tracewright.llm.common import cut, session, tidy
 
 #: Queries and candidates a block, and bits of the score settled in a round.
 QUERY_BLOCK, ROW_BLOCK, BITS = 1024, 8192, 11
@@ -56,7 +56,7 @@ def _pack(df: DataFrame, name: str, rows: int) -> DataFrame:
         if ids:
             yield out()
 
-    packed = df.mapInArrow(run, "n long, ids binary, vectors binary")
+    packed = df.mapInArrow(tidy(run), "n long, ids binary, vectors binary")
     return packed.select(*(F.col(c).alias(f"{name}_{c}") for c in packed.columns))
 
 
@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     n_blocks = rows.count()
     groups = max(1, min(n_blocks, int(sizes)))
     grid = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(rows.withColumn("g", F.pmod(F.col("vb") % 8589934592 + F.shiftright("vb", 33), F.lit(groups)).cast("int")), "g")
-    ids = asked.select("qb", "q_ids").mapInArrow(_unpacked, "qb long, query_id long")
+    ids = asked.select("qb", "q_ids").mapInArrow(tidy(_unpacked), "qb long, query_id long")
 
     # No score is beyond the largest squared length (one number, from all vectors).
     squared = lambda df: df.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("m")).first().m or 0.0
@@ -107,7 +107,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     while width > 1:
         bin_width = max(1, width >> BITS)
         packed = state.groupBy("qb").applyInPandas(_pack_state, "qb long, s_ids binary, s_low binary")
-        counts = grid.join(packed, "qb").mapInArrow(_counter(width, bin_width, k), "query_id long, bin int, n long")
+        counts = grid.join(packed, "qb").mapInArrow(tidy(_counter(width, bin_width, k)), "query_id long, bin int, n long")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
         found = counts.join(state, "query_id").withColumn("upto", F.sum("n").over(w)).filter("upto >= want and upto - n < want")
@@ -117,7 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         state = cut(state)
         width = bin_width
     packed = state.groupBy("qb").applyInPandas(_pack_state, "qb long, s_ids binary, s_low binary")
-    kept = grid.join(packed, "qb").mapInArrow(_keeper(k), "query_id long, vec_id long, score long")
+    kept = grid.join(packed, "qb").mapInArrow(tidy(_keeper(k)), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import session
+from tracewright.llm.common import session, tidy
 
 #: Splitters come from about so many urls a bucket, those of the lowest hashes.
 SAMPLE_PER_BUCKET = 64
@@ -127,8 +127,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", buck
     events = urls.withColumn("kind", F.lit(False)).withColumn("verdict", F.lit(None).cast("string")).unionByName(starts)
     schema = "bucket int, page_id long, host string, path string, key string, kind boolean, verdict string"
     # Rules stand before the urls of their key: false sorts below true, so by not kind.
-    ordered = events.mapInArrow(dealt, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", F.col("kind").desc(), "path", "verdict")
-    return ordered.mapInArrow(swept, OUT)
+    ordered = events.mapInArrow(tidy(dealt), schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", F.col("kind").desc(), "path", "verdict")
+    return ordered.mapInArrow(tidy(swept), OUT)
 
 
 def _longest(own: dict[str, tuple], path: str) -> str | None:
