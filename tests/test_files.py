@@ -147,6 +147,11 @@ def test_replies(spark):
         assert sorted((r.subject, r.predicate, r.object, r.confidence) for r in got if r.k == i) == sorted(want), i
 
 
+def test_reply_counts(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(REPLIES)], "k int, reply string")
+    assert facts.extraction_counts(df, ["k"]).first().asDict() == {"replies": 6, "blank": 1, "with_object": 3, "items": 6, "facts": 3, "left_out": 3}
+
+
 def test_fact_pipeline(spark):
     pages = spark.createDataFrame([("http://x/Big_Radar/", "<title>Radar - Wikipedia</title><p>text</p>"), ("http://x/Big_Radar/", "")], "url string, html string")
     docs = files.read_pages(pages)

@@ -168,3 +168,9 @@ def test_convolution(spark):
     assert all(sum(r.belief) + r.ignorance == pytest.approx(1) for r in out)
     with pytest.raises(ValueError):
         evidential.validate_relations(edges.withColumn("rel", F.lit(9)))
+
+
+def test_padded_features(spark):
+    df = spark.createDataFrame([("a", 2, 1.0), ("a", 1, None), ("a", 3, 9.0), ("b", 1, 4.0)], "k string, t int, x double")
+    got = {r.k: (r.rows, r.n) for r in candidates.padded_features(df, ["k"], [F.col("t")], ["x", "t"], top=2).collect()}
+    assert got == {"a": ([[0.0, 1.0], [1.0, 2.0]], 2), "b": ([[4.0, 1.0], [0.0, 0.0]], 1)}

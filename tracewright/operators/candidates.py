@@ -105,3 +105,13 @@ def probability_records(candidates: DataFrame, keys: list[str] = KEYS, temperatu
         F.transform("candidates", lambda x: x.dropFields("n")).alias("candidates"),
         F.lit("temperature_scaling" if model else "softmax_uncalibrated_baseline").alias("calibration"),
     )
+
+
+def padded_features(df: DataFrame, keys: list[str], order: list[Column], features: list[str], top: int = 50) -> DataFrame:
+    """keys, rows (an array of exactly `top` arrays of the features, zeros for null and for padding) and n (rows used):
+    the first `top` rows of each group by order."""
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= top)
+    row = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
+    listed = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", row.alias("x")))), lambda s: s["x"]).alias("rows"))
+    blank = F.array(*(F.lit(0.0) for _ in features))
+    return listed.select(*keys, F.concat("rows", F.array_repeat(blank, F.lit(top) - F.size("rows"))).alias("rows"), F.size("rows").alias("n"))

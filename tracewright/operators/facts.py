@@ -131,6 +131,19 @@ def normalise_facts(payloads: DataFrame, keys: list[str]) -> DataFrame:
     return out.filter("subject <> '' and object <> '' and confidence is not null")
 
 
+def extraction_counts(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFrame:
+    """One row: replies, blank ones, those with a JSON object, items of their fact lists, facts, and items left out."""
+    payloads = facts_payload(replies, keys, reply)
+    items = payloads.select(F.coalesce(F.size(F.try_variant_get("payload", "$.facts", "array<variant>")), F.lit(0)).alias("n"))
+    asked = replies.agg(F.count("*").alias("replies"), F.coalesce(F.sum((strip(F.coalesce(F.col(reply), F.lit(""))) == "").cast("long")), F.lit(0)).alias("blank"))
+    listed = items.agg(F.count("*").alias("with_object"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"))
+    kept = normalise_facts(payloads, keys).agg(F.count("*").alias("facts"))
+    # Three single rows side by side.
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    out = one(asked).join(one(listed), "_one").join(one(kept), "_one").drop("_one")
+    return out.withColumn("left_out", F.col("items") - F.col("facts"))
+
+
 def extract_facts(documents: DataFrame, completer: Callable[[list[str]], list[str]] | DataFrame, size: int, overlap: int) -> DataFrame:
     """Facts of documents(source_id, source_type, locator, title, text), with chunk_index and fact_index as their order.
 
