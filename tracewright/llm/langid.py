@@ -114,19 +114,20 @@ class Model:
 
 def fit(texts: list[str], langs: list[str], epochs: int = 25, seed: int = 3) -> Model:
     """Trains the bits' classifiers. Averaged stochastic gradients over L1-normalised n-gram shares."""
-    rows = [(features(x), lang) for text, lang in zip(texts, langs, strict=True) if (x := letters(text))]
+    rows = [(x, lang) for text, lang in zip(texts, langs, strict=True) if (x := letters(text))]
     names = sorted({lang for _, lang in rows})
     code = codewords(len(names))
     if len(names) < 2:
         return Model(names, code, np.zeros((FEATURES, code.shape[1]), np.float32), np.ones(code.shape[1]))
-    x = np.stack([f for f, _ in rows])
-    y = code[[names.index(lang) for _, lang in rows]].astype(np.float32)
-    each = np.bincount([names.index(lang) for _, lang in rows])
-    share = (len(rows) / len(names) / each)[[names.index(lang) for _, lang in rows]].astype(np.float32)
-    used = np.flatnonzero(x.any(0))
-    x = np.sqrt(x[:, used])
-    scale = np.float32(1 / max(1e-9, float((x * x).sum(1).mean())))
-    w, bias = np.zeros((len(used), y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    x = np.empty((len(rows), FEATURES), np.float32)  # at most MAX_TRAIN rows
+    for i, (text, _) in enumerate(rows):
+        x[i] = features(text)
+    np.sqrt(x, out=x)
+    of = np.array([names.index(lang) for _, lang in rows])
+    y = code[of].astype(np.float32)
+    share = (len(rows) / len(names) / np.bincount(of))[of].astype(np.float32)
+    scale = np.float32(1 / max(1e-9, float(np.einsum("ij,ij->i", x, x).mean())))
+    w, bias = np.zeros((FEATURES, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
         rate = np.float32(8 * scale / (1 + 0.1 * epoch))
@@ -136,9 +137,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 25, seed: int = 3) ->
             g = -y[i] / (1 + np.exp(np.clip(y[i] * (x[i] @ w + bias), -30, 30))) * share[i][:, None]
             w -= rate * (x[i].T @ g / len(i) + np.float32(1e-6) * w)
             bias -= rate * np.float32(0.1) * g.mean(0)
-    weights = np.zeros((FEATURES, y.shape[1]), np.float32)
-    weights[used] = w
-    return Model(names, code, weights, bias.astype(float))
+    return Model(names, code, w, bias.astype(float))
 
 
 def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], list[str]]:
