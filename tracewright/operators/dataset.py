@@ -78,11 +78,14 @@ def split_by_hash(examples: DataFrame, id_col: str, train: float, val: float, se
     """
     _check(train, val)
     keyed = examples.withColumn("_h", F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")), 256)).withColumn("_b", F.substring("_h", 1, 4))
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    below = counts.withColumn("_below", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_below", F.coalesce("_below", F.lit(0)))
-    n = examples.count()
-    a, b = int(n * train), int(n * train) + int(n * val)
-    at = keyed.join(F.broadcast(below), "_b")  # at most 65,536 rows
+    # At most 65,536 rows: one for each leading part of the hash.
+    counts = sorted((r["_b"], r["_n"]) for r in keyed.groupBy("_b").agg(F.count("*").alias("_n")).collect())
+    upto, below = 0, []
+    for bucket, size in counts:
+        below.append((bucket, size, upto))
+        upto += size
+    a, b = int(upto * train), int(upto * train) + int(upto * val)
+    at = keyed.join(F.broadcast(examples.sparkSession.createDataFrame(below, "_b string, _n long, _below long")), "_b")
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1
     cut = lambda x: (F.col("_below") < x) & (F.col("_below") + F.col("_n") > x)
     is_cut = cut(a) | cut(b)
