@@ -65,3 +65,11 @@ def test_against_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_one_passage_is_enough(spark, tmp_path):
+    passage = "who wrote the long letter that the old man found"
+    spark.createDataFrame([(1, passage), (2, "what does the second of all these items ask us now")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"before it {passage} and after it", "en"), (2, passage.rsplit(" ", 4)[0], "en"), (3, "nothing of the kind", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmarks(spark, docs, str(tmp_path)).collect()) == [2, 3]
