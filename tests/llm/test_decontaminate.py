@@ -54,6 +54,15 @@ def test_items_in_chunks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 4)
 
 
+def test_repeated_and_null_ids_in_chunks(spark, monkeypatch):
+    docs, items = data()
+    docs += [(None, docs[7][1]), (None, docs[8][1]), (None, "zz yy xx ww vv"), (5, docs[9][1])]
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
+    got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), 4)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 4)
+
+
 def test_near(spark):
     docs = [(1, "x a x x b x"), (2, "a x x x x x b"), (3, "b a"), (4, "a"), (5, "b")]
     index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))

@@ -17,19 +17,23 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import as_bytes, keep_until_release, session, shared_dir, tidy
 from tracewright.llm.words import Hashes, alnum_words
 
+#: Blocks are numbered within the task that builds them by this many bits.
+BLOCK_BITS = 32
 #: Words a block (a longer document is a block of its own), and bytes of test items that are broadcast at once.
 BLOCK_WORDS, CHUNK_BYTES = 1 << 20, 16 << 20
 
-INDEX = "doc_ids array<long>, sizes binary, terms binary, offsets binary, postings binary"
+INDEX = "block long, doc_ids array<long>, sizes binary, terms binary, offsets binary, postings binary"
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -112,10 +116,14 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, texts, words = Hashes(), [], [], 0
+        numbers = count(TaskContext.get().partitionId() << BLOCK_BITS)
 
         def block() -> pa.RecordBatch:
             row = Block.of(texts).row()
-            out = pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in row)], names=["doc_ids", "sizes", "terms", "offsets", "postings"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([next(numbers)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in row)],
+                names=["block", "doc_ids", "sizes", "terms", "offsets", "postings"],
+            )
             return out
 
         for batch in batches:
@@ -141,11 +149,11 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(path)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, Block]]:
     for batch in batches:
         for i in range(batch.num_rows):
             raw = [np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("sizes", np.int64), ("terms", np.uint64), ("offsets", np.uint32), ("postings", np.uint32))]
-            yield batch.column("doc_ids")[i].as_py(), Block(*raw)
+            yield batch.column("block")[i].as_py(), batch.column("doc_ids")[i].as_py(), Block(*raw)
 
 
 def _windows(items: list[tuple[str, str]], width: int) -> dict[int, tuple[np.ndarray, list[list[int]], list[str]]]:
@@ -163,11 +171,11 @@ def _windows(items: list[tuple[str, str]], width: int) -> dict[int, tuple[np.nda
 
 
 def _search(index: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
-    """A row per document: its words, the hit ranges, and the ids of the items that occur."""
+    """A row per document: its block and place there, its words, the hit ranges, and the ids of the items that occur."""
     wanted = index.sparkSession.sparkContext.broadcast(_windows(items, width))  # of at most CHUNK_BYTES of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, block in _blocks(batches):
+        for number, ids, block in _blocks(batches):
             edge = np.zeros(int(block.starts[-1]) + 1, np.int32)
             pairs = []
             for size, (windows, of, names) in wanted.value.items():
@@ -184,9 +192,12 @@ def _search(index: DataFrame, items: list[tuple[str, str]], width: int) -> DataF
                 own[d].append(item)
             for d, (a, b) in zip(doc.tolist(), (change - block.starts[doc][:, None]).tolist(), strict=True):
                 spans[d] += (a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(block.sizes), pa.array(spans, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), number)), pa.array(np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(block.sizes), pa.array(spans, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.string()))],
+                names=["block", "place", "doc_id", "n_words", "spans", "items"],
+            )
 
-    return index.mapInArrow(tidy(run), "doc_id long, n_words long, spans array<long>, items array<string>")
+    return index.mapInArrow(tidy(run), "block long, place long, doc_id long, n_words long, spans array<long>, items array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, index: DataFrame | None = None) -> DataFrame:
@@ -195,7 +206,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, index: DataFr
     benchmark(item_id, text) is cut into windows of `width` consecutive words; an item of fewer words, but not none, is
     one window. spans may touch where the items took more than one chunk. Null texts have no words; items with a null id
     are left out, rows with one item_id count as one item; null doc_ids stay as they are. Repeated documents each get
-    their row, where the items fit one chunk; beyond that, rows of one doc_id are merged. Extra columns are left out.
+    their row, however many chunks the items take. Extra columns are left out.
     """
     index = build_index(docs) if index is None else index
     wanted = benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text").filter("item_id is not null")
@@ -207,8 +218,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, index: DataFr
         found = _search(index, [tuple(r) for r in part.collect()], width)
         out = found if out is None else out.unionByName(found)
     if chunks > 1:
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out
+        out = out.groupBy("block", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return out.drop("block", "place")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_items: int = 2) -> DataFrame:
@@ -244,7 +255,7 @@ def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     wanted = Hashes().of([w for t in terms for w in alnum_words(t.encode())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, block in _blocks(batches):
+        for _, ids, block in _blocks(batches):
             spans = block.near(wanted, within)
             doc = np.searchsorted(block.starts, spans[:, 0], "right") - 1
             spans = spans - block.starts[doc][:, None]
