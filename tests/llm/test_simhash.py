@@ -51,6 +51,24 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a, "alone"), (None, b, "copy"), (1, b, "x"), (1, b, "x"), (2, c, "y"), (5, d, "z"), (2, d, "other"), (3, c, "copy"), (3, e, "w"), (None, e, "copy"), (None, a, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, a, "alone"), (1, b, "x"), (2, c, "y"), (2, d, "other"), (3, e, "w")], key=str)
+
+
+def test_keep_one_drops_a_copy_under_another_groups_id(spark):
+    rng = random.Random(10)
+    a, b = (" ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (2, a), (2, b), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(1, a), (2, b)]
+
+
 def test_links_connect_all_pairs(spark):
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(40)]

@@ -28,6 +28,8 @@ from tracewright.llm.components import components
 from tracewright.llm.words import space_words
 
 SHINGLE, SEED, RADIUS, PARTS, SHARD_ROWS = 3, 42, 3, 5, 2000
+#: With the doc_id, it names a row up to exact repeats.
+TEXT_HASH = "xxhash64(cast(text as string))"
 
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -103,15 +105,16 @@ def local_links(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) for each row of docs(doc_id, text); null text: no words."""
+    """doc_id, fp (the fingerprint's bits as a signed long) and h (hash of the text) for each row of docs(doc_id, text);
+    null text: no words."""
     session(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x) for x in as_bytes(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), batch.column("h")], names=["doc_id", "fp", "h"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", f"{TEXT_HASH} h").mapInArrow(tidy(run), "doc_id long, fp long, h long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -163,14 +166,36 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     own = cut(fingerprints(docs))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct.select("fp"), radius))
-    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(distinct, radius)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return own.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct(fp, ...) with root, the same for all fingerprints that links reach."""
+    found = components(links(distinct.select("fp"), radius))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is their component's."""
-    kept = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """One row of docs for each component: that of the smallest doc_id, of several of it that of the smallest text hash.
+
+    A null doc_id counts as the largest: such a row stays if no row with an id is in its component. Of exact repeats
+    (doc_id and text) one is kept, whichever comes first.
+    """
+    own = cut(fingerprints(docs))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    named = _rooted(own.groupBy("fp").agg(F.min(row).alias("first")), radius)
+    kept = cut(named.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("_doc"), F.col("x.h").alias("_h")))
+    known = docs.withColumns({"_own_doc": F.col("doc_id").cast("long"), "_own_h": F.expr(TEXT_HASH)})
+
+    def rows(of: DataFrame) -> DataFrame:
+        return known.join(of, known["_own_doc"].eqNullSafe(of["_doc"]) & (known["_own_h"] == of["_h"]), "left_semi")
+
+    repeated = own.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = cut(kept.join(repeated, kept["_doc"].eqNullSafe(repeated["doc_id"]) & (kept["_h"] == repeated["h"]), "left_semi"))
+    if repeated.isEmpty():
+        return rows(kept).select(*docs.columns)
+    once = kept.alias("k").join(repeated.alias("r"), F.col("k._doc").eqNullSafe(F.col("r._doc")) & (F.col("k._h") == F.col("r._h")), "left_anti")
+    return rows(once).unionByName(rows(repeated).dropDuplicates(["_own_doc", "_own_h"])).select(*docs.columns)
