@@ -20,8 +20,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter go."""
+    """Documents with a language; those without any letter go, and no others, also where no language can be learned."""
     model = langid.fit(*langid.sample(docs))
+    if not model.langs:
+        return langid.lettered(docs)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("words"))
     return langid.predict(rows, model, "words").filter("lang_pred <> 'und'").select("row.*")
 

@@ -73,3 +73,11 @@ def test_one_passage_is_enough(spark, tmp_path):
     rows = [(1, f"before it {passage} and after it", "en"), (2, passage.rsplit(" ", 4)[0], "en"), (3, "nothing of the kind", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.benchmarks(spark, docs, str(tmp_path)).collect()) == [2, 3]
+
+
+def test_language_without_labels(spark, tmp_path):
+    rows = [(1, "the old man", None), (2, "123 !?", None), (3, None, None), (4, "\u00e9", None), (None, "ein", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((r.text for r in got.collect())) == ["ein", "the old man", "\u00e9"]

@@ -184,6 +184,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return kept.mapInArrow(tidy(run), schema)
 
 
+def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter, those that predict() may give a language."""
+    session(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(letters(x)) for x in as_text(batch.column(text))], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
 def identify(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 4) = 2", max_train: int = MAX_TRAIN) -> DataFrame:
     """Per row of docs(doc_id, text, lang): doc_id, held_out, lang_pred, score, ambiguous.
 
