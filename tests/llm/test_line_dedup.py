@@ -84,3 +84,20 @@ def test_documents_left(spark):
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=str) == sorted([(1, rows[0][1], 0), (3, "\n", 0), (4, None, 0), (5, "new", 1), (None, "a", 0)], key=str)
     assert ld.dedup(df.limit(0)).count() == 0
     assert sorted(r.n_removed for r in ld.dedup(df, fuzzy=False, keep="all").collect()) == [0, 0, 0, 0, 1, 1]
+
+
+def test_repeated_rows(spark):
+    text = "a b c d e f\n\nshort\na b c d e x\ng h i j k l"
+    rows = [(1, text, "x"), (1, text, "x"), (2, "m n o p q\nshort", "y"), (2, "m n o p q r\na b c d e f\nnew\nn2", "z"), (3, text, "w"), (None, text, "n"), (None, text, "n"), (4, None, "v"), (4, None, "v"), (4, "", "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = sorted((tuple(r) for r in ld.report(df).collect()), key=str)
+    assert [r for r in got if r[0] != 2] == sorted([(1, 5, 1, [3]), (1, 5, 4, [0, 2, 3, 4]), (3, 5, 4, [0, 2, 3, 4]), *[(None, 5, 0, [])] * 2, *[(4, 0, 0, [])] * 2, (4, 1, 0, [])], key=str)
+    # Of the two texts under one doc_id, that of the smaller hash is the earlier.
+    assert [r[3] for r in got if r[0] == 2] in ([[1], [0, 1]], [[0, 1], [1]])
+    kept = sorted((r.doc_id, r.text, r.n_removed) for r in ld.dedup(df).collect() if r.doc_id in (1, 3))
+    assert kept == [(1, "a b c d e f\n\nshort\ng h i j k l", 1)]
+    every = sorted((r.doc_id, r.text, r.n_removed) for r in ld.dedup(df, keep="all").collect() if r.doc_id in (1, 3))
+    assert every == [(1, "", 4), (1, "a b c d e f\n\nshort\ng h i j k l", 1), (3, "", 4)]
+    assert sum(r.doc_id is None and r.text == text for r in ld.dedup(df).collect()) == 2
+    exact = sorted((r.doc_id, r.n_removed) for r in ld.dedup(df, fuzzy=False, keep="all").collect() if r.doc_id in (1, 3))
+    assert exact == [(1, 0), (1, 4), (3, 4)]

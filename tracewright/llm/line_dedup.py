@@ -7,7 +7,8 @@ line itself and, for each of its words, the line without it, as hashed keys. Two
 - one is equal to the other without one word (insertion, deletion).
 
 A line is removed if an earlier line of the corpus is equal or within the bound, whether or not that one is removed
-itself; earlier is by doc_id, then by place in the document. So of each group of equal variants only the earliest line
+itself; earlier is by doc_id, then, of different texts under one doc_id, by the text's hash, then by place in the
+document; of exact repeats (doc_id and text) all but one count as later. So of each group of equal variants only the earliest line
 matters: it is the witness for all others. A task settles its own groups and sends one entry a group, so a group of any
 size costs one entry a task, and no pairs are made.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import LOWER, as_bytes, session, stored, tidy
@@ -36,6 +37,8 @@ from tracewright.llm.words import Hashes, space_words
 MIN_WORDS = 5
 #: Base of the rolling hash (odd, so that it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
+#: The columns that name a row up to exact repeats, and the second of them.
+KEY, TEXT_HASH = ("doc_id", "text_hash"), "xxhash64(cast(text as string))"
 GRID = sorted({int(2 * 1.25**k) for k in range(1, 80)})
 
 
@@ -108,66 +111,100 @@ def half_sizes(n: int) -> set[int]:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with words: key (hash of the words), doc_id, line, n words, and the hashes of its halves."""
+    """A row for each line with words: key (hash of the words), doc_id, text_hash, line, whether it is the first one of
+    its row, n words, and the hashes of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(1)
         for batch in batches:
-            words, sizes, docs_of, numbers = [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            words, sizes, docs_of, hashes_of, numbers, heads = [], [], [], [], [], []
+            for doc, text_hash, text in zip(*(batch.column(c).to_pylist() for c in KEY), as_bytes(batch.column("text")), strict=True):
+                head = True
                 for number, line in enumerate(text.translate(LOWER).split(b"\n")):
                     own = line.split()
                     if own:
                         words += own
                         sizes.append(len(own))
                         docs_of.append(doc)
+                        hashes_of.append(text_hash)
                         numbers.append(number)
+                        heads.append(head)
+                        head = False
             n = np.array(sizes, np.int64)
             lines = Lines(hashes.of(words), np.concatenate([[0], np.cumsum(n)]))
             halves = np.stack(lines.halves(), 1).view(np.int64) if len(n) else np.zeros((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.whole().view(np.int64)), pa.array(docs_of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n.astype(np.int32)), *(pa.array(halves[:, i]) for i in range(4))],
-                names=["key", "doc_id", "line", "n", "a", "b", "c", "d"],
+                [
+                    pa.array(lines.whole().view(np.int64)),
+                    pa.array(docs_of, pa.int64()),
+                    pa.array(hashes_of, pa.int64()),
+                    pa.array(numbers, pa.int32()),
+                    pa.array(heads, pa.bool_()),
+                    pa.array(n.astype(np.int32)),
+                    *(pa.array(halves[:, i]) for i in range(4)),
+                ],
+                names=["key", *KEY, "line", "head", "n", "a", "b", "c", "d"],
             )
 
-    return docs.mapInArrow(tidy(run), "key long, doc_id long, line int, n int, a long, b long, c long, d long")
+    return docs.mapInArrow(tidy(run), "key long, doc_id long, text_hash long, line int, head boolean, n int, a long, b long, c long, d long")
 
 
-def _removals(docs: DataFrame, fuzzy: bool) -> DataFrame:
-    """doc_id, line: what goes. docs has unique, non-null doc_ids."""
+def _removals(docs: DataFrame, fuzzy: bool) -> tuple[DataFrame, bool]:
+    """doc_id, text_hash, line, again: what goes; and whether there are exact repeats. docs(doc_id, text_hash, text) has
+    no nulls. Where again is true, the line goes from all rows of that doc_id and text but one, else from that one."""
     seen = stored(_occurrences(docs))
-    at = F.struct("doc_id", "line")
+    repeats = stored(seen.filter("head").groupBy(*KEY).agg(F.count("*").alias("c")).filter("c > 1").select(*KEY))
+    repeated = not repeats.isEmpty()
+    at = F.struct(*KEY, "line")
     # One row for each distinct line, with its earliest place.
-    distinct = stored(seen.groupBy("key").agg(F.min(F.struct("doc_id", "line", "n", "a", "b", "c", "d")).alias("x"), F.count("*").alias("copies")).select("key", "copies", "x.*"))
+    distinct = stored(seen.groupBy("key").agg(F.min(F.struct(*KEY, "line", "n", "a", "b", "c", "d")).alias("x"), F.count("*").alias("copies")).select("key", "copies", "x.*"))
     goes = distinct.filter("copies > 1").select("key", at.alias("first"))
     if fuzzy:
         keyed = distinct.filter(F.col("n") >= MIN_WORDS - 1).select("key", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("half"))
         shared = keyed.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
         candidates = keyed.join(shared, "half").select("key").distinct()
-        wanted = _lines_of(docs, distinct.join(candidates, "key").select("key", "doc_id", "line"))
-        edited = _verified(wanted, _witnessed(wanted)).withColumn("first", F.lit(None).cast("struct<doc_id:long,line:int>"))
+        wanted = _lines_of(docs, distinct.join(candidates, "key").select("key", *KEY, "line"), repeated)
+        edited = _verified(wanted, _witnessed(wanted)).withColumn("first", F.lit(None).cast("struct<doc_id:long,text_hash:long,line:int>"))
         goes = edited.unionByName(goes.join(edited.select("key"), "key", "left_anti"))
     # Later copies of a line go, and all copies of a line with an earlier neighbour.
-    return seen.select("key", "doc_id", "line").join(goes, "key").filter(F.col("first").isNull() | (at > F.col("first"))).select("doc_id", "line")
+    out = seen.select("key", *KEY, "line").join(goes, "key").filter(F.col("first").isNull() | (at > F.col("first"))).select(*KEY, "line", F.lit(False).alias("again"))
+    if repeated:
+        out = out.unionByName(seen.join(repeats, list(KEY), "left_semi").select(*KEY, "line", F.lit(True).alias("again")))
+    return out, repeated
 
 
-def _lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """part, number, key and text of the lines at places(key, doc_id, line); (part, number) is their order in the corpus."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text of docs. The first two name a row up to exact repeats."""
+    return docs.selectExpr("cast(doc_id as long) doc_id", f"{TEXT_HASH} text_hash", "cast(text as string) text")
+
+
+def _gone(removals: DataFrame) -> DataFrame:
+    """_doc, _hash, _gone (lines that go from one row of that text) and _again (from the others; null if there are none)."""
+    lines = lambda x: F.array_sort(F.collect_set(F.when(x, F.col("line"))))
+    again = lines(F.col("again"))
+    return removals.groupBy(*KEY).agg(lines(~F.col("again")).alias("_gone"), F.when(F.size(again) > 0, again).alias("_again")).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+
+
+def _lines_of(docs: DataFrame, places: DataFrame, repeated: bool) -> DataFrame:
+    """part, number, key and text of the lines at places(key, doc_id, text_hash, line); (part, number) is their order in
+    the corpus. If docs has exact repeats, each line is still read once."""
     spark = docs.sparkSession
-    asked = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("asked"))
+    asked = places.groupBy(*KEY).agg(F.collect_list(F.struct("line", "key")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, own in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+            for doc, text_hash, text, own in zip(*(batch.column(c).to_pylist() for c in KEY), as_bytes(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
                 lines = text.split(b"\n")
-                rows += [(doc, x["line"], x["key"], lines[x["line"]]) for x in own]
-            c = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["doc_id", "line", "key", "text"])
+                rows += [(doc, text_hash, x["line"], x["key"], lines[x["line"]]) for x in own]
+            c = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(c, kinds, strict=True)], names=[*KEY, "line", "key", "text"])
 
-    found = stored(docs.join(asked, "doc_id").mapInArrow(tidy(run), "doc_id long, line int, key long, text binary"))
+    found = docs.join(asked, list(KEY)).mapInArrow(tidy(run), "doc_id long, text_hash long, line int, key long, text binary")
+    found = stored(found.dropDuplicates(["key"]) if repeated else found)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartitionByRange(n, "doc_id", "line").sortWithinPartitions("doc_id", "line").withColumn("part", F.spark_partition_id())
+    ordered = found.repartitionByRange(n, *KEY, "line").sortWithinPartitions(*KEY, "line").withColumn("part", F.spark_partition_id())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -310,17 +347,22 @@ def within_one_edit(a: list, b: list) -> bool:
 def dedup(docs: DataFrame, fuzzy: bool = True, keep: str = "nonempty") -> DataFrame:
     """docs with duplicate lines removed from text, and the long columns n_lines and n_removed.
 
-    A line (what newlines separate) goes if an earlier line, by (doc_id, place), has the same words or, from MIN_WORDS
+    A line (what newlines separate) goes if an earlier line, by (doc_id, hash of the text, place), has the same words or, from MIN_WORDS
     words on in one of the two, is one edit of a word away. Words are as in [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Lines
     without words stay. With keep="nonempty", documents that lose all their lines with words go; with keep="all" they
-    stay, with what is left. Null texts and documents without words stay as they are. doc_id must be unique; rows with a
-    null doc_id stay as they are, and take no part. Other columns stay; ones named n_lines or n_removed are replaced.
+    stay, with what is left. Null texts and documents without words stay as they are. Of exact
+    repeats (doc_id and text) any one is the earliest. Rows with a null doc_id stay as they are, and take no part. Other columns stay; ones named n_lines or n_removed are replaced.
     """
     session(docs)
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").filter("doc_id is not null and text is not null")
-    gone = stored(_removals(own, fuzzy)).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    removals, repeated = _removals(_keyed(docs).filter("doc_id is not null and text is not null"), fuzzy)
+    gone = _gone(stored(removals))
     kept = docs.drop("n_lines", "n_removed")
-    out = kept.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    out = kept.join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.expr(TEXT_HASH) == F.col("_hash")), "left")
+    if repeated:
+        later = out.filter("_again is not null").withColumn("_copy", F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_hash")))
+        later = later.withColumn("_gone", F.when(F.col("_copy") > 1, F.col("_again")).otherwise(F.col("_gone"))).drop("_copy")
+        out = out.filter("_again is null").unionByName(later)
+    out = out.withColumn("_gone", F.when(F.size("_gone") > 0, F.col("_gone")))
     lines = F.split("text", "\n")
     left = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains("_gone", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
@@ -336,8 +378,11 @@ def report(docs: DataFrame) -> DataFrame:
     Without the texts, which dedup() returns: they need not go through a shuffle for this.
     """
     session(docs)
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    gone = _removals(own.filter("doc_id is not null and text is not null"), True).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    lines = own.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = lines.join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    own = _keyed(docs)
+    gone = _gone(_removals(own.filter("doc_id is not null and text is not null"), True)[0])
+    # Exact repeats are folded: which of them is the earliest does not show.
+    lines = own.groupBy(*KEY).agg(F.max(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")).alias("n_lines"), F.count("*").cast("int").alias("c"))
+    out = lines.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("c"))))
+    out = out.withColumn("removed", F.coalesce(F.when(F.col("copy") > 1, F.col("_again")).otherwise(F.col("_gone")), F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
