@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import LOWER, as_bytes, session, stored, tidy
 from tracewright.llm.words import Hashes, space_words
 
-#: Lines of fewer words only match exactly: one edit in five words leaves a similarity of 0.8.
+#: Lines of fewer words only match exactly: one edit in five words leaves a similarity of 0.8. The bound stays at one edit
+#: in longer lines.
 MIN_WORDS = 5
 #: Base of the rolling hash (odd, so that it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
