@@ -38,7 +38,7 @@ def test_op1(spark, documents):
         gone = np.cumsum(gone)[: len(t)] > 0
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = sorted(map(tuple, queries.op1_suffix_dedup(spark, SF).collect()))
+    got = sorted(tuple(r)[:5] for r in queries.op1_suffix_dedup(spark, SF).collect())
     assert got == want
     assert sum(r[2] for r in want) > 0
 
