@@ -101,3 +101,26 @@ def test_repeated_rows(spark):
     assert sum(r.doc_id is None and r.text == text for r in ld.dedup(df).collect()) == 2
     exact = sorted((r.doc_id, r.n_removed) for r in ld.dedup(df, fuzzy=False, keep="all").collect() if r.doc_id in (1, 3))
     assert exact == [(1, 0), (1, 4), (3, 4)]
+
+
+def test_few_lines_in_many_partitions(spark):
+    line, other = "a b c d e f g h i j", "a b c d e f g h i x"
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for rows in ([(1, line)], [(1, line), (2, other)], [(1, line), (1, line), (2, other)], [(1, line), (1, other)], [(None, line), (3, other)]):
+            df = spark.createDataFrame(rows, "doc_id long, text string")
+            assert sum(r.n_removed for r in ld.report(df).collect()) == (0 if rows[0][0] is None else len(rows) - 1)
+            assert sum(r.n_removed == 0 for r in ld.dedup(df).collect()) == (2 if rows[0][0] is None else 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_long_lines(spark):
+    """Places beyond 65,536 words are told apart."""
+    words = [f"w{i}" for i in range(70_000)]
+    changed = [*words[:69_000], "x", *words[69_001:]]
+    twice = [*words[:66_000], "x", *words[66_001:69_000], "x", *words[69_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(twice)), (4, " ".join(["y", *words[1:66_000], "z", *words[66_001:]]))]
+    got = {r.doc_id: r.removed for r in ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [0], 4: []}

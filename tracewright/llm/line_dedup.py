@@ -220,6 +220,8 @@ def _lines_of(docs: DataFrame, places: DataFrame, repeated: bool) -> DataFrame:
 def _settle(h: np.ndarray, place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of variants (place WHOLE: the line itself): pairs of a line and an earlier one of its group, and which variants
     are the earliest of their hash and place."""
+    if not len(h):
+        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
     order = np.lexsort((rank, place, h))
     h, place, rank = h[order], place[order], rank[order]
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -233,16 +235,16 @@ def _settle(h: np.ndarray, place: np.ndarray, rank: np.ndarray) -> tuple[np.ndar
     size = np.diff(np.append(of_h, len(h)))
     lost = np.where(place == WHOLE, NONE, rank)
     whole = np.where(place == WHOLE, rank, NONE)
-    if len(h):
-        lost, whole_of = np.repeat(np.minimum.reduceat(lost, of_h), size), np.repeat(np.minimum.reduceat(whole, of_h), size)
-        x = (place == WHOLE) & (lost < rank)
-        pairs.append((rank[x], lost[x]))
-        x = (place != WHOLE) & (whole_of < rank)
-        pairs.append((rank[x], whole_of[x]))
+    lost, whole_of = np.repeat(np.minimum.reduceat(lost, of_h), size), np.repeat(np.minimum.reduceat(whole, of_h), size)
+    x = (place == WHOLE) & (lost < rank)
+    pairs.append((rank[x], lost[x]))
+    x = (place != WHOLE) & (whole_of < rank)
+    pairs.append((rank[x], whole_of[x]))
     return np.stack([np.concatenate(c) for c in zip(*pairs, strict=True)]), order[new]
 
 
-WHOLE, NONE = 65535, np.iinfo(np.int64).max
+#: The place of a variant that is the line itself: lines have fewer words.
+WHOLE, NONE = (1 << 32) - 1, np.iinfo(np.int64).max
 #: Variants that a task settles at once; lines are numbered within parts by this many bits.
 AT_ONCE, NUMBER_BITS = 1_000_000, 40
 
@@ -255,7 +257,7 @@ def _witnessed(wanted: DataFrame) -> DataFrame:
     schema = "bucket int, h binary, place binary, rank binary, pairs binary"
 
     def packed(bucket: int, h: np.ndarray, place: np.ndarray, rank: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h, place.astype(np.uint16), rank, pairs))], names=["bucket", "h", "place", "rank", "pairs"])
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h, place.astype(np.uint32), rank, pairs))], names=["bucket", "h", "place", "rank", "pairs"])
 
     def unique(pairs: np.ndarray) -> np.ndarray:
         """One witness, the earliest, for each line."""
@@ -286,7 +288,7 @@ def _witnessed(wanted: DataFrame) -> DataFrame:
             lines = Lines(hashes.of([w for x in texts for w in x]), np.concatenate([[0], np.cumsum(size)]))
             h, line, place = lines.without_each()
             long_enough = size[line] >= MIN_WORDS
-            held.append((np.concatenate([lines.whole(), h[long_enough]]), np.concatenate([np.full(len(size), WHOLE), np.minimum(place[long_enough], WHOLE - 1)]), np.concatenate([rank, rank[line[long_enough]]])))
+            held.append((np.concatenate([lines.whole(), h[long_enough]]), np.concatenate([np.full(len(size), WHOLE), place[long_enough]]), np.concatenate([rank, rank[line[long_enough]]])))
             n += len(held[-1][0])
             if n > AT_ONCE:
                 yield from send()
@@ -309,7 +311,7 @@ def _witnessed(wanted: DataFrame) -> DataFrame:
                     yield out()
                     held = []
                 bucket = b
-                h, place, rank, pairs = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("h", np.uint64), ("place", np.uint16), ("rank", np.int64), ("pairs", np.int64)))
+                h, place, rank, pairs = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("h", np.uint64), ("place", np.uint32), ("rank", np.int64), ("pairs", np.int64)))
                 held.append((h, place, rank, pairs.reshape(2, -1)))
         if held:
             yield out()
@@ -376,7 +378,9 @@ def dedup(docs: DataFrame, fuzzy: bool = True, keep: str = "nonempty") -> DataFr
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (the numbers from 0 of the lines that go, ascending) for each document.
 
-    Without the texts, which dedup() returns: they need not go through a shuffle for this.
+    Without the texts, which dedup() returns: they need not go through a shuffle for this. Null texts have no lines, rows
+    with a null doc_id lose none, exact repeats each get a row (all but one lose what an earlier copy has), and texts
+    under one doc_id are told apart by their hash. Tables may be smaller than the number of partitions, or empty.
     """
     session(docs)
     own = _keyed(docs)
