@@ -9,7 +9,8 @@ In a shard a BK-tree is grown: children are keyed by their Hamming distance to t
 edges within R of the distance to the node. Each fingerprint is searched for, joined with all it finds in the shard's
 union-find, and inserted. A shard returns one link to the local root for each fingerprint, not pairs. Shard trees are
 not broadcast, as all of them together grow with the corpus: the fingerprints are dealt out to their trees instead.
-Shards over SHARD_ROWS are cut in parts and each pair of parts has a tree of its own, so none is lost or unbounded.
+A shard of more than SHARD_ROWS is dealt out again in the same way by the bits that its fingerprints don't share: ten
+smaller shards each. As fingerprints are distinct, none of those has more than 2**17, whatever the input.
 """
 
 from __future__ import annotations
@@ -117,21 +118,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", f"{TEXT_HASH} h").mapInArrow(tidy(run), "doc_id long, fp long, h long")
 
 
+def _agreed(bits: list[int], radius: int, parts: int) -> list[int]:
+    """Masks, as signed longs, of which two values within radius agree on one at least: of the bits cut in parts, every
+    choice of all but radius parts."""
+    edges = np.linspace(0, len(bits), parts + 1).astype(int)
+    of = [sum(1 << b for b in bits[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    masks = [sum(chosen) for chosen in combinations(of, parts - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """u and v: links that connect the same distinct fps(fp) as all pairs within radius do."""
-    edges = np.linspace(0, 64, parts + 1).astype(int)
-    masks = []
-    for chosen in combinations(range(parts), parts - radius):
-        mask = sum(((1 << int(edges[p + 1])) - 1) ^ ((1 << int(edges[p])) - 1) for p in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    masks = _agreed(list(range(64)), radius, parts)
     shards = F.array(*(F.struct(F.lit(i).cast("byte").alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))
     keyed = fps.select("fp", F.explode(shards).alias("s")).select("fp", "s.i", "s.bits")
-    counts = keyed.groupBy("i", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / shard_rows).cast("int"))
-    dealt = keyed.join(counts.drop("n"), ["i", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp", "i"), F.col("cuts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    dealt = dealt.select("fp", "i", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    counts = keyed.groupBy("i", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    # A crowded shard's free bits are cut in parts again; of the others the only part is all of them.
+    finer = F.array(*(F.array(*(F.lit(x) for x in _agreed([b for b in range(64) if not m >> b & 1], radius, parts))) for m in masks))
+    again = F.when(F.col("n") > shard_rows, F.transform(F.get(finer, F.col("i").cast("int")), lambda m, j: F.struct(j.alias("j"), F.col("fp").bitwiseAND(m).alias("own")))).otherwise(F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("own"))))
+    dealt = keyed.join(counts, ["i", "bits"]).select("fp", "i", "bits", F.explode(again).alias("x")).select("fp", "i", "bits", "x.j", "x.own")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "i", "bits", "a", "b").sortWithinPartitions("i", "bits", "a", "b", "fp")
+    dealt = dealt.repartition(n, "i", "bits", "j", "own").sortWithinPartitions("i", "bits", "j", "own", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, values = None, []
@@ -142,7 +149,7 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard_rows:
 
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64).tolist()
-            names = zip(*(batch.column(c).to_pylist() for c in ("i", "bits", "a", "b")), strict=True)
+            names = zip(*(batch.column(c).to_pylist() for c in ("i", "bits", "j", "own")), strict=True)
             found = []
             for value, own in zip(fp, names, strict=True):
                 if own != key:
