@@ -66,13 +66,15 @@ def _libc() -> ctypes.CDLL | None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (single-machine runs) a temporary folder stands in for it.
+    Where that is unset a temporary folder stands in for it, if the master is this machine alone; else that is an error.
     """
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_to:
         return set_to
     held = getattr(spark.sparkContext, "_tracewright_shared", None)
     if held is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.sparkContext.setCheckpointDir(held)
         spark.sparkContext._tracewright_shared = held

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import as_bytes, session, shared_dir, tidy
+from tracewright.llm.common import as_bytes, keep_until_release, session, shared_dir, tidy
 from tracewright.llm.words import Hashes, space_words
 
 #: Tokens counted before a task packs and sends them.
@@ -198,7 +198,10 @@ def discounts(n: list[int]) -> list[float]:
 def fit(docs: DataFrame, path: str | None = None) -> str:
     """Counts docs(text) and writes the model to path (else into the shared folder); returns its path."""
     spark = session(docs)
-    path = _local(path or f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}")
+    if path is None:
+        path = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+        keep_until_release(spark, path)
+    path = _local(path)
     os.makedirs(path)
     buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.selectExpr("cast(text as string) text")

@@ -76,8 +76,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Components become floor(scale * x); the score is their integer inner product, and shorter vectors count as padded
     with zeros. vectors and queries have the columns id_col and vector_col (extra columns are left out). A query's own
-    id is no candidate. Vectors that are null, empty of values or hold nulls or non-finite values take no part, nor do
-    null ids. Of repeated rows (one id and vector) one is used. Queries with fewer than k candidates return all; empty
+    id is no candidate. Vectors that are null or hold nulls or non-finite values take no part, nor do null ids; one
+    without any component scores 0 with all. Of repeated rows (one id and vector) one is used. Queries with fewer than k candidates return all; empty
     tables return no rows. Scores beyond 2**62 are not supported.
     """
     spark = session(vectors)
