@@ -14,18 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, decontaminate, langid, line_dedup, simhash
-from tracewright.llm.common import mark, release, shared_dir
+from tracewright.llm.common import keep_until_release, mark, release, shared_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter go, and no others, also where no language can be learned."""
-    model = langid.fit(*langid.sample(docs))
+    """Documents with a language; those without any letter go, and no others, also where no language can be learned.
+
+    Documents whose lang is null get the predicted one, unless it is ambiguous.
+    """
+    model = langid.train(langid.sample(docs))
     if not model.langs:
         return langid.lettered(docs)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("words"))
-    return langid.predict(rows, model, "words").filter("lang_pred <> 'und'").select("row.*")
+    found = langid.predict(rows, model, "words").filter("lang_pred <> 'und'")
+    lang = F.coalesce(F.col("row.lang"), F.when(~F.col("ambiguous"), F.col("lang_pred")).cast(docs.schema["lang"].dataType))
+    return found.select(*((lang if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +58,6 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 
-
 def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """The stage, first deleting what earlier stages stored on the way: their results have been written by then."""
 
@@ -84,7 +88,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents, each written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    held = mark(spark)
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        release(spark, held, mark(spark))  # all that the stage has read, its input among it
+        held = mark(spark)
+        keep_until_release(spark, f"{at}/{name}")
     return docs

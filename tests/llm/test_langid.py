@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -54,4 +56,54 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     got = [r for r in queries.op6_language_id(spark, sf).collect() if r.held_out]
-    assert np.mean([truth[r.doc_id] == r.lang_pred for r in got]) > 0.97
+    for lang in set(truth.values()) - {None}:
+        own = [r for r in got if truth[r.doc_id] == lang]
+        assert own and np.mean([r.lang_pred == lang for r in own]) > 0.95, lang
+
+
+def brute_decode(model, text):
+    """A plain loop over n-grams, bits and languages."""
+    raw = langid.letters(text or "")
+    if not raw:
+        return "und", 0.0
+    shift = 32 - (langid.FEATURES.bit_length() - 1)
+    mask = (1 << 32) - 1
+    m = [int(x) for x in langid.MULTIPLY]
+    bits = model.weights.shape[1]
+    total = [0.0] * bits
+    for i in range(len(raw)):
+        a, b, c = (raw[i + k] + 1 if i + k < len(raw) else 0 for k in range(3))
+        one = a * m[0] & mask
+        two = (one ^ b) * m[1] & mask
+        three = (two ^ c) * m[2] & mask
+        for h in (one >> shift, two >> shift, three >> shift):
+            for j in range(bits):
+                total[j] += float(model.weights[h, j])
+    margins = [t / (3 * len(raw)) + float(model.bias[j]) for j, t in enumerate(total)]
+    sure = [abs(math.tanh(x)) for x in margins]
+    losses = [sum(s / (1 + math.exp(max(-30, min(30, x * int(w))))) for s, x, w in zip(sure, margins, word, strict=True)) / max(sum(sure), 1e-9) for word in model.code]
+    best = min(range(len(losses)), key=losses.__getitem__)
+    p = [math.exp(-20 * (x - losses[best])) for x in losses]
+    return model.langs[best], max(p) / sum(p)
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(langid.sample(docs.filter("not pmod(crc32(cast(doc_id as string)), 4) = 2")))
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for d, text in rows:
+        lang, score = brute_decode(model, text)
+        assert got[d].lang_pred == lang and abs(got[d].score - score) < 1e-4
+
+
+def test_sample_is_shared_by_the_languages(spark):
+    rows = [(i, f"the man number {'abcdefghij'[i % 10] * (i % 7 + 1)} {'xyz'[i % 3]}", "en") for i in range(400)] + [(i, "der Mann und die Frau", "de") for i in range(400, 404)]
+    rows += [(500, "long " * 30_000, "fr"), (501, None, "fr"), (502, "12", "fr"), (503, "none", None)]
+    found = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 30)
+    n = Counter(lang for _, lang in found)
+    assert n["de"] == 4 and n["fr"] == 1 and 5 <= n["en"] <= 10
+    whole = next(x for x, lang in found if lang == "fr")
+    assert np.allclose(whole, langid.features(langid.letters("long " * 30_000)), atol=1e-6)

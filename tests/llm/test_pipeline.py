@@ -81,3 +81,11 @@ def test_language_without_labels(spark, tmp_path):
     got = corpus_pipeline.language(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert sorted((r.text for r in got.collect())) == ["ein", "the old man", "\u00e9"]
+
+
+def test_language_is_filled_in(spark, tmp_path):
+    rows = [(i, t, lang) for i in range(40) for t, lang in [(f"the man and the house of wood {'abc'[i % 3]}", "en"), (f"der Mann und das Haus aus Holz {'abc'[i % 3]}", "de")]]
+    rows += [(90, "the house and the man of the wood", None), (91, "das Haus und der Mann aus dem Holz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect() if r.doc_id >= 90}
+    assert got == {90: "en", 91: "de"}

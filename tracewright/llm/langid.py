@@ -5,8 +5,8 @@ belongs to the languages whose bit is one. A text gets the language whose codewo
 weighs as much as its classifier is sure (loss-weighted decoding), so some wrong bits are corrected. Where the two best
 codewords are nearly as good, the row is flagged as ambiguous.
 
-The classifiers are averaged logistic regressions, trained on the driver on a bounded sample (MAX_TRAIN documents of at
-most TRAIN_BYTES from their start and end; the lowest hashes of the ids). Prediction is a narrow map over whole texts.
+The classifiers are averaged logistic regressions, trained on the driver on the n-grams of a bounded sample of whole texts
+(MAX_TRAIN rows, shared evenly by the languages; the lowest hashes). Prediction is a narrow map over whole texts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import as_text, session, tidy
 
-#: The bounds of the training sample, and the number of hashed n-grams.
-MAX_TRAIN, TRAIN_BYTES, FEATURES = 4000, 3000, 1 << 13
+#: The bound of the training sample, and the number of hashed n-grams.
+MAX_TRAIN, FEATURES = 4000, 1 << 13
 #: Languages up to which all distinct bits are used, and bits for each doubling beyond.
 EXHAUSTIVE, BITS_PER_DOUBLING = 6, 12
 #: Below this difference of the two best losses (of 1) a prediction is ambiguous.
@@ -61,8 +61,8 @@ ASCII_LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
-    """Hashed byte n-grams of lengths 1 to 3 that start at each byte (those cut off by the end are of zeros)."""
-    x = raw.astype(np.uint32) + 1
+    """Hashed byte n-grams of lengths 1 to 3 that start at each byte (those cut off by the end, or a zero, are of zeros)."""
+    x = raw.astype(np.uint32) + (raw > 0)
     b, c = np.append(x[1:], 0).astype(np.uint32), np.append(x[2:], [0, 0]).astype(np.uint32)[: len(x)]
     one = x * MULTIPLY[0]
     two = (one ^ b) * MULTIPLY[1]
@@ -98,30 +98,36 @@ class Model:
         """The mean weight of each text's n-grams, with the bias, per bit. Whole texts, in runs."""
         out = np.zeros((len(texts), self.weights.shape[1]))
         sizes = np.array([len(x) for x in texts], np.int64)
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        raw = np.frombuffer(b"".join(x + b"\0\0" for x in texts), np.uint8)  # the zeros keep n-grams within their texts
+        starts = np.concatenate([[0], np.cumsum(sizes + 2)])
         for a in range(0, len(raw), RUN):
             b = min(a + RUN, len(raw))
-            own = grams(raw[a : min(b + 2, len(raw))])[:, : b - a]
+            own = grams(raw[a : b + 2])[:, : b - a + 1]
             first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
-            at = np.maximum(starts[first:last], a) - a
-            filled = np.flatnonzero(np.minimum(starts[first + 1 : last + 1], b) - a > at)
+            at, upto = np.maximum(starts[first:last], a) - a, np.minimum(starts[first:last] + sizes[first:last], b) - a
+            filled = np.flatnonzero(upto > at)
+            if not len(filled):
+                continue
+            edges = np.stack([at[filled], upto[filled]], 1).ravel()
             for gram in own:
-                summed = np.add.reduceat(self.weights[gram], at[filled], axis=0)
-                out[first + filled] += summed
+                out[first + filled] += np.add.reduceat(self.weights[gram], edges, axis=0, dtype=np.float64)[::2]
         return out / np.maximum(3 * sizes, 1)[:, None] + self.bias
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 25, seed: int = 3) -> Model:
-    """Trains the bits' classifiers. Averaged stochastic gradients over L1-normalised n-gram shares."""
-    rows = [(x, lang) for text, lang in zip(texts, langs, strict=True) if (x := letters(text))]
+    """Trains on texts and their languages; those without letters count for nothing."""
+    return train([(features(x), lang) for text, lang in zip(texts, langs, strict=True) if (x := letters(text))], epochs, seed)
+
+
+def train(rows: list[tuple[np.ndarray, str]], epochs: int = 25, seed: int = 3) -> Model:
+    """Trains the bits' classifiers on rows of features() and language. Averaged stochastic gradients."""
     names = sorted({lang for _, lang in rows})
     code = codewords(len(names))
     if len(names) < 2:
         return Model(names, code, np.zeros((FEATURES, code.shape[1]), np.float32), np.ones(code.shape[1]))
     x = np.empty((len(rows), FEATURES), np.float32)  # at most MAX_TRAIN rows
-    for i, (text, _) in enumerate(rows):
-        x[i] = features(text)
+    for i, (own, _) in enumerate(rows):
+        x[i] = own
     np.sqrt(x, out=x)
     of = np.array([names.index(lang) for _, lang in rows])
     y = code[of].astype(np.float32)
@@ -140,22 +146,39 @@ def fit(texts: list[str], langs: list[str], epochs: int = 25, seed: int = 3) ->
     return Model(names, code, w, bias.astype(float))
 
 
-def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most max_train distinct rows of labelled(doc_id, text, lang), those of the lowest hashes.
+def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[np.ndarray, str]]:
+    """features() and language of at most max_train distinct rows of labelled(doc_id, text, lang): of each language those
+    of the lowest hashes, as many of each as there are of them, up to its even share.
 
-    Rows up to a hash that lets about a quarter more through are sent to the driver, whatever the corpus.
+    Rows up to a hash that lets about a quarter more through are counted, whole, where they are; the driver gets numbers of
+    n-grams, whatever the corpus and the length of its texts.
     """
-    rows = labelled.filter("lang is not null and text is not null")
-    n = rows.count()
+    spark = session(labelled)
+    rows = labelled.selectExpr("doc_id", "cast(text as string) text", "cast(lang as string) lang").filter("lang is not null and text is not null")
+    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not n:
-        return [], []
-    top = min(1.0, 1.25 * max_train / n) * 2.0**64 - 2.0**63
-    t = F.col("text")
-    cut = F.when(F.length(t) > TRAIN_BYTES, F.concat(F.substring(t, 1, TRAIN_BYTES // 2), F.lit(" "), F.substring(t, -TRAIN_BYTES // 2, TRAIN_BYTES // 2))).otherwise(t)
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", "lang")).filter(F.col("h").cast("double") <= top)
-    found = hashed.groupBy("h").agg(F.min(F.struct("doc_id", cut.alias("text"), F.col("lang").cast("string").alias("lang"))).alias("x")).select("h", "x.*").collect()
-    found = sorted(found, key=lambda r: r.h)[:max_train]
-    return [r.text for r in found], [r.lang for r in found]
+        return []
+    share = max(1, max_train // len(n))
+    top = spark.sparkContext.broadcast({lang: int(min(1.0, 1.25 * (share + 20) / c) * 2.0**64 - 2.0**63) for lang, c in n.items()})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, h = batch.column("lang").to_pylist(), batch.column("h").to_pylist()
+            batch = batch.filter(pa.array([x <= top.value[k] for x, k in zip(h, lang, strict=True)], pa.bool_()))
+            own = [np.bincount(grams(np.frombuffer(raw, np.uint8)).ravel(), minlength=FEATURES) if (raw := letters(x)) else np.zeros(0, np.int64) for x in as_text(batch.column("text"))]
+            at = [np.flatnonzero(x) for x in own]
+            packed = [[i.astype(np.uint32).tobytes() for i in at], [x[i].astype(np.uint32).tobytes() for x, i in zip(own, at, strict=True)]]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), *(pa.array(x, pa.binary()) for x in packed)], names=["h", "lang", "at", "n"])
+
+    found = rows.withColumn("h", F.xxhash64("doc_id", "lang", "text")).mapInArrow(tidy(counted), "h long, lang string, at binary, n binary").filter(F.octet_length("at") > 0)
+    out, taken = [], dict.fromkeys(n, 0)
+    for r in sorted(found.dropDuplicates(["h"]).collect(), key=lambda r: r.h):
+        if taken[r.lang] < share:
+            taken[r.lang] += 1
+            x = np.zeros(FEATURES, np.float32)
+            x[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"], np.uint32)
+            out.append((x / max(np.float32(1), x.sum()), r.lang))
+    return out
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -200,7 +223,7 @@ def identify(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)
 
     Learns from text and lang of rows that are not held out (a null doc_id is held out) and have a lang.
     """
-    train = docs.filter(f"not coalesce({held_out}, true)")
-    model = fit(*sample(train, max_train))
+    labelled = docs.filter(f"not coalesce({held_out}, true)")
+    model = train(sample(labelled, max_train))
     rows = docs.selectExpr("cast(doc_id as long) doc_id", f"coalesce({held_out}, true) held_out", "cast(text as string) text")
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
