@@ -24,7 +24,7 @@ def test_margins_do_not_depend_on_runs(monkeypatch):
     monkeypatch.setattr(langid, "RUN", 7)
     assert np.allclose(whole, model.margins(raw))
     alone = np.stack([langid.features(x) @ model.weights + model.bias for x in raw if x])
-    assert np.allclose(whole[[bool(x) for x in raw]], alone, atol=0.2)
+    assert np.allclose(whole[[bool(x) for x in raw]], alone, atol=1e-4)
 
 
 def test_corrects_a_wrong_bit():

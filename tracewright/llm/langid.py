@@ -61,8 +61,8 @@ ASCII_LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
-    """Hashed byte n-grams of lengths 1 to 3 that start at each byte (those cut off by the end, or a zero, are of zeros)."""
-    x = raw.astype(np.uint32) + (raw > 0)
+    """Hashed byte n-grams of lengths 1 to 3 that start at each byte (those cut off by the end are of zeros)."""
+    x = raw.astype(np.uint32) + 1
     b, c = np.append(x[1:], 0).astype(np.uint32), np.append(x[2:], [0, 0]).astype(np.uint32)[: len(x)]
     one = x * MULTIPLY[0]
     two = (one ^ b) * MULTIPLY[1]
@@ -97,21 +97,14 @@ class Model:
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """The mean weight of each text's n-grams, with the bias, per bit. Whole texts, in runs."""
         out = np.zeros((len(texts), self.weights.shape[1]))
-        sizes = np.array([len(x) for x in texts], np.int64)
-        raw = np.frombuffer(b"".join(x + b"\0\0" for x in texts), np.uint8)  # the zeros keep n-grams within their texts
-        starts = np.concatenate([[0], np.cumsum(sizes + 2)])
-        for a in range(0, len(raw), RUN):
-            b = min(a + RUN, len(raw))
-            own = grams(raw[a : b + 2])[:, : b - a + 1]
-            first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
-            at, upto = np.maximum(starts[first:last], a) - a, np.minimum(starts[first:last] + sizes[first:last], b) - a
-            filled = np.flatnonzero(upto > at)
-            if not len(filled):
-                continue
-            edges = np.stack([at[filled], upto[filled]], 1).ravel()
-            for gram in own:
-                out[first + filled] += np.add.reduceat(self.weights[gram], edges, axis=0, dtype=np.float64)[::2]
-        return out / np.maximum(3 * sizes, 1)[:, None] + self.bias
+        weights = self.weights.astype(float)
+        for k, text in enumerate(texts):
+            n = np.zeros(FEATURES, np.int64)
+            for a in range(0, len(text), RUN):
+                own = grams(np.frombuffer(text[a : a + RUN + 2], np.uint8))[:, :RUN]
+                n += np.bincount(own.ravel(), minlength=FEATURES)
+            out[k] = n @ weights
+        return out / np.maximum(3 * np.array([len(x) for x in texts]), 1)[:, None] + self.bias
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 25, seed: int = 3) -> Model:
