@@ -109,20 +109,21 @@ class Model:
 
 def fit(texts: list[str], langs: list[str], epochs: int = 25, seed: int = 3) -> Model:
     """Trains on texts and their languages; those without letters count for nothing."""
-    return train([(features(x), lang) for text, lang in zip(texts, langs, strict=True) if (x := letters(text))], epochs, seed)
+    own = [(features(x), lang) for text, lang in zip(texts, langs, strict=True) if (x := letters(text))]
+    return train([(np.flatnonzero(x), x[x > 0], lang) for x, lang in own], epochs, seed)
 
 
-def train(rows: list[tuple[np.ndarray, str]], epochs: int = 25, seed: int = 3) -> Model:
-    """Trains the bits' classifiers on rows of features() and language. Averaged stochastic gradients."""
-    names = sorted({lang for _, lang in rows})
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 25, seed: int = 3) -> Model:
+    """Trains the bits' classifiers on rows of n-grams, their counts or shares, and language. Averaged stochastic gradients."""
+    names = sorted({row[2] for row in rows})
     code = codewords(len(names))
     if len(names) < 2:
         return Model(names, code, np.zeros((FEATURES, code.shape[1]), np.float32), np.ones(code.shape[1]))
-    x = np.empty((len(rows), FEATURES), np.float32)  # at most MAX_TRAIN rows
-    for i, (own, _) in enumerate(rows):
-        x[i] = own
+    x = np.zeros((len(rows), FEATURES), np.float32)  # at most MAX_TRAIN rows
+    for i, (at, n, _) in enumerate(rows):
+        x[i, at] = n / n.sum()
     np.sqrt(x, out=x)
-    of = np.array([names.index(lang) for _, lang in rows])
+    of = np.array([names.index(row[2]) for row in rows])
     y = code[of].astype(np.float32)
     share = (len(rows) / len(names) / np.bincount(of))[of].astype(np.float32)
     scale = np.float32(1 / max(1e-9, float(np.einsum("ij,ij->i", x, x).mean())))
@@ -139,8 +140,8 @@ def train(rows: list[tuple[np.ndarray, str]], epochs: int = 25, seed: int = 3) -
     return Model(names, code, w, bias.astype(float))
 
 
-def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[np.ndarray, str]]:
-    """features() and language of at most max_train distinct rows of labelled(doc_id, text, lang): of each language those
+def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """N-grams, their counts and language of at most max_train distinct rows of labelled(doc_id, text, lang): of each language those
     of the lowest hashes, as many of each as there are of them, up to its even share.
 
     Rows up to a hash that lets about a quarter more through are counted, whole, where they are; the driver gets numbers of
@@ -168,9 +169,7 @@ def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[np.nda
     for r in sorted(found.dropDuplicates(["h"]).collect(), key=lambda r: r.h):
         if taken[r.lang] < share:
             taken[r.lang] += 1
-            x = np.zeros(FEATURES, np.float32)
-            x[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"], np.uint32)
-            out.append((x / max(np.float32(1), x.sum()), r.lang))
+            out.append((np.frombuffer(r["at"], np.uint32), np.frombuffer(r["n"], np.uint32), r.lang))
     return out
 
 
