@@ -218,6 +218,35 @@ BORDERS = {
 }
 
 
+# Upper-case names that count as countries.
+COUNTRIES = [
+    "AFGHANISTAN", "ALBANIA", "ALGERIA", "ANDORRA", "ANGOLA", "ANTIGUA AND BARBUDA", "ARGENTINA", "ARMENIA", "AUSTRALIA", "AUSTRIA", "AZERBAIJAN",
+    "BAHAMAS", "BAHRAIN", "BANGLADESH", "BARBADOS", "BELARUS", "BELGIUM", "BELIZE", "BENIN", "BHUTAN", "BOLIVIA", "BOLIVIA (PLURINATIONAL STATE OF)",
+    "BOSNIA AND HERZEGOVINA", "BOTSWANA", "BRAZIL", "BRUNEI", "BRUNEI DARUSSALAM", "BULGARIA", "BURKINA FASO", "BURUNDI", "CABO VERDE", "CAPE VERDE",
+    "CAMBODIA", "CAMEROON", "CANADA", "CENTRAL AFRICAN REPUBLIC", "CHAD", "CHILE", "CHINA", "COLOMBIA", "COMOROS", "CONGO",
+    "CONGO, DEMOCRATIC REPUBLIC OF THE", "CONGO, THE DEMOCRATIC REPUBLIC OF THE", "COSTA RICA", "COTE D'IVOIRE", "CÔTE D'IVOIRE", "CROATIA", "CUBA",
+    "CYPRUS", "CZECH REPUBLIC", "CZECHIA", "DEMOCRATIC PEOPLE'S REPUBLIC OF KOREA", "DEMOCRATIC REPUBLIC OF THE CONGO", "DENMARK", "DJIBOUTI",
+    "DOMINICA", "DOMINICAN REPUBLIC", "ECUADOR", "EGYPT", "EL SALVADOR", "EQUATORIAL GUINEA", "ERITREA", "ESTONIA", "ESWATINI", "ETHIOPIA", "FIJI",
+    "FINLAND", "FRANCE", "GABON", "GAMBIA", "GEORGIA", "GERMANY", "GHANA", "GREECE", "GRENADA", "GUATEMALA", "GUINEA", "GUINEA-BISSAU", "GUYANA",
+    "HAITI", "HOLY SEE", "HONDURAS", "HUNGARY", "ICELAND", "INDIA", "INDONESIA", "IRAN", "IRAN (ISLAMIC REPUBLIC OF)", "IRAQ", "IRELAND", "ISRAEL",
+    "ITALY", "IVORY COAST", "JAMAICA", "JAPAN", "JORDAN", "KAZAKHSTAN", "KENYA", "KIRIBATI", "KOREA, DEMOCRATIC PEOPLE'S REPUBLIC OF",
+    "KOREA, REPUBLIC OF", "KOSOVO", "KUWAIT", "KYRGYZSTAN", "LAO PEOPLE'S DEMOCRATIC REPUBLIC", "LAOS", "LATVIA", "LEBANON", "LESOTHO", "LIBERIA",
+    "LIBYA", "LIECHTENSTEIN", "LITHUANIA", "LUXEMBOURG", "MADAGASCAR", "MALAWI", "MALAYSIA", "MALDIVES", "MALI", "MALTA", "MARSHALL ISLANDS",
+    "MAURITANIA", "MAURITIUS", "MEXICO", "MICRONESIA", "MICRONESIA (FEDERATED STATES OF)", "MOLDOVA", "MOLDOVA, REPUBLIC OF", "MONACO", "MONGOLIA",
+    "MONTENEGRO", "MOROCCO", "MOZAMBIQUE", "MYANMAR", "NAMIBIA", "NAURU", "NEPAL", "NETHERLANDS", "NEW ZEALAND", "NICARAGUA", "NIGER", "NIGERIA",
+    "NORTH KOREA", "NORTH MACEDONIA", "NORWAY", "OMAN", "PAKISTAN", "PALAU", "PALESTINE", "PALESTINE, STATE OF", "PANAMA", "PAPUA NEW GUINEA",
+    "PARAGUAY", "PERU", "PHILIPPINES", "POLAND", "PORTUGAL", "QATAR", "REPUBLIC OF KOREA", "REPUBLIC OF MOLDOVA", "ROMANIA", "RUSSIA",
+    "RUSSIAN FEDERATION", "RWANDA", "SAINT KITTS AND NEVIS", "SAINT LUCIA", "SAINT VINCENT AND THE GRENADINES", "SAMOA", "SAN MARINO",
+    "SAO TOME AND PRINCIPE", "SAUDI ARABIA", "SENEGAL", "SERBIA", "SEYCHELLES", "SIERRA LEONE", "SINGAPORE", "SLOVAKIA", "SLOVENIA",
+    "SOLOMON ISLANDS", "SOMALIA", "SOUTH AFRICA", "SOUTH KOREA", "SOUTH SUDAN", "SPAIN", "SRI LANKA", "SUDAN", "SURINAME", "SWEDEN", "SWITZERLAND",
+    "SYRIA", "SYRIAN ARAB REPUBLIC", "TAIWAN", "TAJIKISTAN", "TANZANIA", "TANZANIA, UNITED REPUBLIC OF", "THAILAND", "TIMOR-LESTE", "TOGO", "TONGA",
+    "TRINIDAD AND TOBAGO", "TUNISIA", "TURKEY", "TÜRKIYE", "TURKMENISTAN", "TUVALU", "UGANDA", "UKRAINE", "UNITED ARAB EMIRATES", "UNITED KINGDOM",
+    "UNITED KINGDOM OF GREAT BRITAIN AND NORTHERN IRELAND", "UNITED REPUBLIC OF TANZANIA", "UNITED STATES", "UNITED STATES OF AMERICA", "URUGUAY",
+    "USA", "UZBEKISTAN", "VANUATU", "VATICAN CITY", "VENEZUELA", "VENEZUELA (BOLIVARIAN REPUBLIC OF)", "VIET NAM", "VIETNAM", "WESTERN SAHARA",
+    "YEMEN", "ZAMBIA", "ZIMBABWE",
+]
+
+
 def default_countries() -> list[str]:
-    """Upper-case names of the nations named above; operators take a longer list as a parameter."""
-    return sorted({n.upper() for n in (*BORDERS, *CENTROIDS, *NATION_TERMS.values())})
+    """Names that count as countries; operators take another list as a parameter."""
+    return list(COUNTRIES)

@@ -73,26 +73,31 @@ def split_by_hash(examples: DataFrame, id_col: str, train: float, val: float, se
     """examples with split. Exact sizes (train int(n * f), val likewise, the rest test), in the order of a hash of id and
     seed.
 
-    The order is found without sorting all rows in one place: rows are counted by the leading digits of their hash, and
-    only the two buckets that hold a cut are ranked.
+    The order is found without sorting the rows: they are counted by the leading digits of their hash, only the two
+    buckets that hold a cut are ranked, and the rows at the cuts bound the splits in one narrow pass.
     """
     _check(train, val)
-    keyed = examples.withColumn("_h", F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")), 256)).withColumn("_b", F.substring("_h", 1, 4))
+    digest = lambda: F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")), 256)
+    keyed = examples.select(F.col(id_col).alias("_id"), digest().alias("_h")).withColumn("_b", F.substring("_h", 1, 4))
     # At most 65,536 rows: one for each leading part of the hash.
     counts = sorted((r["_b"], r["_n"]) for r in keyed.groupBy("_b").agg(F.count("*").alias("_n")).collect())
-    upto, below = 0, []
+    n = sum(size for _, size in counts)
+    wanted, upto = {}, 0  # by bucket: the places in it of the first rows beyond train, and beyond val
+    cuts = [("train", int(n * train)), ("val", int(n * train) + int(n * val))]
     for bucket, size in counts:
-        below.append((bucket, size, upto))
+        for name, at in cuts:
+            if upto <= at < upto + size:
+                wanted.setdefault(bucket, []).append((name, at - upto))
         upto += size
-    a, b = int(upto * train), int(upto * train) + int(upto * val)
-    at = keyed.join(F.broadcast(examples.sparkSession.createDataFrame(below, "_b string, _n long, _below long")), "_b")
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1
-    cut = lambda x: (F.col("_below") < x) & (F.col("_below") + F.col("_n") > x)
-    is_cut = cut(a) | cut(b)
-    name = lambda r: F.when(r < a, "train").when(r < b, "val").otherwise("test")
-    whole = at.filter(~is_cut).withColumn("split", name(F.col("_below")))
-    ranked = at.filter(is_cut).withColumn("_r", F.col("_below") + rank).withColumn("split", name(F.col("_r"))).drop("_r")
-    return whole.unionByName(ranked).drop("_h", "_b", "_n", "_below")
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_id")) - 1
+    at = F.lit(False)
+    for bucket, places in wanted.items():
+        at = at | ((F.col("_b") == bucket) & F.col("_r").isin([k for _, k in places]))
+    ranked = keyed.filter(F.col("_b").isin(list(wanted))).withColumn("_r", rank).filter(at)
+    found = {(r["_b"], r["_r"]): (r["_h"], r["_id"]) for r in ranked.collect()}  # two rows
+    bound = {name: found[bucket, k] for bucket, places in wanted.items() for name, k in places}
+    below = lambda name: (F.col("_h") < bound[name][0]) | ((F.col("_h") == bound[name][0]) & (F.col(id_col) < F.lit(bound[name][1]))) if name in bound else F.lit(True)
+    return examples.withColumn("_h", digest()).withColumn("split", F.when(below("train"), "train").when(below("val"), "val").otherwise("test")).drop("_h")
 
 
 def split_by_shuffle(examples: DataFrame, index: str, n: int, train: float, val: float, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracewright.functions.fixed import EXPLANATION_SCHEMA
 from tracewright.functions.names import is_unknown_nation
@@ -96,7 +97,7 @@ def complete(df: DataFrame, prompt: str, fallback: str, completer: Callable[[lis
     """df with the completer's text for each prompt; without a completer, or where it gives none, the fallback column."""
     if completer is None:
         return df.withColumn(out, F.col(fallback))
-    schema = df.schema.add("_text", "string")
+    schema = StructType([*df.schema.fields, StructField("_text", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

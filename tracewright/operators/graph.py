@@ -91,7 +91,8 @@ def merge_graphs(*graphs: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataF
         n, e = n.withColumn("_k", F.lit(k)), as_edges(e)
         nodes = n if nodes is None else nodes.unionByName(n)
         edges = e if edges is None else edges.unionByName(e)
-    merged = nodes.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col("_k"))).alias("name"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"), F.max_by(F.struct("props"), "_k").alias("p"))
+    listed = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", c))), lambda x: x[c]))).alias(c)
+    merged = nodes.groupBy("id").agg(listed("labels"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col("_k"))).alias("name"), listed("aliases"), F.max_by(F.struct("props"), "_k").alias("p"))
     facts, others = edges.filter("type = 'FACT'"), edges.filter("type <> 'FACT'")
     return merged.select("id", "labels", "name", "aliases", "p.props"), facts.unionByName(others.dropDuplicates(["eid"]))
 

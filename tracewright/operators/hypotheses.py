@@ -37,18 +37,29 @@ def _label(any_of: list[str], none_of: list[str] = ()) -> Column:
 NO_PLATFORM = ["Country", "Sensor", "Operator", "Location"]
 
 
+def _grams(text: Column, n: int) -> Column:
+    """All parts of n characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def matched_emitters(observations: DataFrame, nodes: DataFrame) -> DataFrame:
     """observation_id, emitter, emitter_name and score of the nodes that match an observation's emitter name.
 
-    Names repeat over observations, so distinct names are matched and joined back. A contains-match has no key for a
-    hash join: the names' side (a few terms each) is broadcast if it is small, and else the planner loops over blocks.
+    Names repeat over observations, so distinct names are matched and joined back. A text that contains another has the
+    other's first three letters somewhere: these are the keys that bring pairs together, which are then checked.
     """
     names = observations.select("emission_sensor_name").distinct()
     aliases = emitter_aliases(F.col("emission_sensor_name"))
     names = names.withColumn("aliases", aliases).select("emission_sensor_name", match_terms(F.col("aliases")).alias("terms"), semantic_tokens(F.col("aliases")).alias("tokens"))
     own = nodes.select(F.col("id").alias("emitter"), F.coalesce("name", "id").alias("emitter_name"), "labels").withColumn("spaced", spaced(F.coalesce("emitter_name", F.lit(""))))
+    known, asked = own.select("spaced").distinct(), names.select("emission_sensor_name", "terms", F.array_union("terms", "tokens").alias("texts"))
+    within = known.select("spaced", F.explode(F.array_distinct(F.flatten(F.array(*(_grams(F.col("spaced"), n) for n in (1, 2, 3)))))).alias("gram"))
+    first = asked.select("emission_sensor_name", F.explode(F.array_distinct(F.transform("texts", lambda t: F.substring(t, 1, 3)))).alias("gram"))
+    reverse = asked.select("emission_sensor_name", F.explode(F.array_distinct(F.flatten(F.transform("terms", lambda t: _grams(t, 3))))).alias("gram"))
+    met = first.join(within, "gram").unionByName(reverse.join(known.select("spaced", F.substring("spaced", 1, 3).alias("gram")), "gram")).select("emission_sensor_name", "spaced").distinct()
     exact, matched = emitter_match(F.col("spaced"), F.col("terms"), F.col("tokens"))
-    pairs = own.join(names, emitter_matches(exact, matched, F.col("tokens"))).withColumn("score", (F.size(exact) * 10 + F.size(matched)).cast("double"))
+    found = met.join(names, "emission_sensor_name").filter(emitter_matches(exact, matched, F.col("tokens")))
+    pairs = own.join(found, "spaced").withColumn("score", (F.size(exact) * 10 + F.size(matched)).cast("double"))
     return observations.select("observation_id", "emission_sensor_name").join(pairs.select("emission_sensor_name", "emitter", "emitter_name", "score"), "emission_sensor_name")
 
 

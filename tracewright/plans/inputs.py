@@ -98,14 +98,6 @@ def fk_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-NODES_SQL = """
-nodes AS (
-  SELECT 'r' || r_regionkey AS id, 'Location' AS label, r_name AS name FROM region UNION ALL
-  SELECT 'n' || n_nationkey, 'Country', n_name FROM nation UNION ALL
-  SELECT 's' || s_suppkey, 'Platform', s_name FROM supplier UNION ALL
-  SELECT 'c' || c_custkey, 'Contact', c_name FROM customer
-)
-"""
 EDGES_SQL = """
 edges AS (
   SELECT 'n' || n_nationkey || '>r' || n_regionkey AS eid, 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'LOCATED_IN' AS type FROM nation UNION ALL

@@ -15,7 +15,7 @@ from tracewright.functions.fixed import BORDERS
 from tracewright.functions.values import node_id, stable_id
 from tracewright.operators import calibration, dataset, evidential, explain, facts, graph, hypotheses, observations, trails
 from tracewright.operators import candidates as cand
-from tracewright.plans.inputs import CANDIDATES_SQL, EDGES_SQL, LINE_ORDER, LOGITS_SQL, NODES_SQL, candidates, contact_graph, fk_graph, log_lines, logits, table
+from tracewright.plans.inputs import CANDIDATES_SQL, EDGES_SQL, LINE_ORDER, LOGITS_SQL, candidates, contact_graph, fk_graph, log_lines, logits, table
 from tracewright.sources import files, logs
 from tracewright.streaming import tail
 
@@ -231,11 +231,6 @@ def dataset_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.split_by_hash(dataset.drop_unknown(_examples(spark, sf_dir)).select("id"), "id", 0.7, 0.15, 1).select("id", "split")
 
 
-@query("SELECT text, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text".replace("SELECT text,", "SELECT sha256(text) AS h,"))
-def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-
-
 @query("""
 SELECT s_suppkey, substr(sha256(array_to_string(['entity', lower(s_name)], chr(31))), 1, 16) AS entity_id, substr(sha256(array_to_string(['platform', lower(s_name)], chr(31))), 1, 16) AS platform_id,
        substr(sha256(array_to_string(['feature-query', n_name, s_name, '', s_suppkey::VARCHAR, 'graph_neighbourhood_features_v1'], chr(31))), 1, 16) AS query_id
@@ -298,16 +293,6 @@ def border_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.with_distance(rows, "nation", "lat", "lon").select("c_custkey", "nation", F.round("distance_km", 4).alias("km"), r6(F.col("distance_score"), "score"))
 
 
-@query(f"WITH {NODES_SQL} SELECT id, label, name FROM nodes")
-def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fk_graph(spark, sf_dir)[0].select("id", F.col("labels")[0].alias("label"), "name")
-
-
-@query(f"WITH {EDGES_SQL} SELECT eid, src, dst, type FROM edges")
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fk_graph(spark, sf_dir)[1].select("eid", "src", "dst", "type")
-
-
 @query(f"WITH {EDGES_SQL} SELECT type, count(*) AS n FROM edges GROUP BY type")
 def rel_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.relationship_counts(fk_graph(spark, sf_dir)[1])
@@ -504,9 +489,11 @@ def tail_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         for row in lines.orderBy("line").toLocalIterator():
             f.write(row.text + "\n")
     stream = tail.tail(spark, os.path.join(at, "log.txt"))
-    tail.write_append(stream, f"{at}/out", f"{at}/checkpoint", once=False, every="0 seconds").processAllAvailable()
-    for q in spark.streams.active:
-        q.stop()
+    running = tail.write_append(stream, f"{at}/out", f"{at}/checkpoint", once=False, every="0 seconds")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
     got = spark.read.parquet(f"{at}/out")
     kv = logs.key_values(F.col("text"))
     return got.filter(logs.has_mark(F.col("text"))).select("line", F.replace(kv["Sensor_aircraft"], F.lit("U-"), F.lit("")).cast("long").alias("user_id"), F.regexp_extract(kv["Emission_sensor_name"], r"\[S\.(.*)\]", 1).alias("event_type"))

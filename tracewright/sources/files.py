@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +13,20 @@ from tracewright.functions.values import stable_id, strip
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, line (from 1, over all lines of a file) and text. A file is one task; bad UTF-8 becomes U+FFFD, a BOM goes.
+    """path, line (from 1, over all lines of a file) and text. Bad UTF-8 becomes U+FFFD, a BOM goes.
 
-    Line numbers need whole files; very large logs are better tailed (tracewright.streaming.tail) or split beforehand.
+    Files are split: lines are counted for each part of a file first, so the numbers need a second pass, but no task
+    reads more than a part.
     """
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n|\r")).alias("n", "text"))
-    return lines.select("path", (F.col("n") + 1).alias("line"), "text")
+    m = F.col("_metadata")
+    rows = spark.read.text(paths).select(m["file_path"].alias("path"), m["file_block_start"].alias("_part"), F.monotonically_increasing_id().alias("_m"), F.col("value").alias("text"))
+    # A row a part of a file: the lines before it, and the number of its first row.
+    parts = rows.groupBy("path", "_part").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_part")) - F.col("_n")
+    parts = parts.select("path", "_part", (before - F.col("_first") + 1).alias("_shift"))
+    line = (F.col("_m") + F.col("_shift")).alias("line")
+    out = rows.join(parts, ["path", "_part"]).select("path", line, "text")
+    return out.withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")))
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
