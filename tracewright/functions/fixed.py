@@ -11,6 +11,17 @@ FEATURE_SCHEMA = "graph_neighbourhood_features_v1"
 PROBABILITY_SCHEMA = "platform_operator_nation_probability_v1"
 EXPLANATION_SCHEMA = "llm_explainer_payload_v1"
 
+# Sentences of explanation records, which readers of those compare.
+NOTE_LOW = "Top platform probability is below 0.60, so the assignment should be treated as tentative."
+NOTE_CLOSE = "The two leading platform hypotheses are separated by less than 0.15 probability."
+NOTE_UNKNOWN = "Non-identifying operator-nation labels were excluded; the summary uses the highest-probability positive operator-nation candidate."
+ADVICE = [
+    "If authorized and tactically safe, engage or retask an active RADAR for range, track, and signature evidence.",
+    "Collect another time-separated passive RF observation and improve angle-of-arrival geometry.",
+    "Cross-cue independent EO/IR, IFF, or intelligence sources before acting on identity.",
+]
+WARNING = "Identification is probabilistic; retain human review and do not treat the LLM narrative as new evidence."
+
 # Weights of the linear logit.
 FEATURE_WEIGHTS = {
     "supporting_path_count": 0.65,

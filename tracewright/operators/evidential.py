@@ -9,16 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.fixed import GRAPH_RELATIONS
+from tracewright.functions.fixed import ADVICE, GRAPH_RELATIONS, WARNING
 from tracewright.functions.probability import digamma, dirichlet_summary, evidential, lgamma
 
-ADVICE = [
-    "If authorized and tactically safe, engage or retask an active RADAR for range, track, and signature evidence.",
-    "Collect another time-separated passive RF observation and improve angle-of-arrival geometry.",
-    "Cross-cue independent EO/IR, IFF, or intelligence sources before acting on identity.",
-]
-WARNING = "Identification is probabilistic; retain human review and do not treat the LLM narrative as new evidence."
-
 
 def findings(df: DataFrame, alpha: str = "alpha", labels: str = "labels") -> DataFrame:
     """df with finding: the summary of each row's alphas. Fewer than two, other widths, bad values: errors."""

@@ -9,14 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tracewright.functions.fixed import EXPLANATION_SCHEMA
+from tracewright.functions.fixed import EXPLANATION_SCHEMA, NOTE_CLOSE, NOTE_LOW, NOTE_UNKNOWN
 from tracewright.functions.names import is_unknown_nation
 from tracewright.functions.values import fixed_point
 
 EVIDENCE = "array<struct<text:string,source:string>>"
-NOTE_LOW = "Top platform probability is below 0.60, so the assignment should be treated as tentative."
-NOTE_CLOSE = "The two leading platform hypotheses are separated by less than 0.15 probability."
-NOTE_UNKNOWN = "Non-identifying operator-nation labels were excluded; the summary uses the highest-probability positive operator-nation candidate."
 
 
 def evidence_lines(items: Column, empty: str, prefix: str = "  ") -> Column:
