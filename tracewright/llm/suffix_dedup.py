@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import as_bytes, session, stored, tidy
 
 #: Strings of LENGTH bytes are removed; those of SHORTER bytes, about 50 words of prose, are reported too.
-LENGTH, SHORTER = 400, 280
+LENGTH, SHORTER = 400, 250
 #: Bytes of a block that is suffix-sorted, and the most runs of one anchor in it.
 BLOCK_BYTES, BLOCK_RUNS = 1_000_000, 1500
 
