@@ -37,17 +37,28 @@ def test_counts_after_edits(text, raw):
     edits, at = [], 0
     for start, length, new in sorted(raw):
         start, end = min(start, len(text)), min(start + length, len(text))
-        if start >= at and (not edits or start > at or edits[-1][1] < start):
+        if start >= at:
             edits.append((start, end, new))
             at = end
-    counted = token_counts.CountedText(text, COUNTS)
-    assert counted.n_tokens == len(LIB.encode_ordinary(text))
-    after = counted.edit(edits)
+    counted = token_counts.CountedText.stored(*token_counts.CountedText.of(text, COUNTS).row())
+    assert counted.tree.total() == len(LIB.encode_ordinary(text))
+    after = counted.edit(edits, COUNTS)
     expected = text
     for start, end, new in reversed(edits):
         expected = expected[:start] + new + expected[end:]
     assert after == expected
     assert counted.tree.total() == len(LIB.encode_ordinary(after))
+    assert counted.edited(after).row() == token_counts.CountedText.of(after, COUNTS).row()
+
+
+@given(st.lists(st.integers(0, 9), max_size=40))
+def test_sums(leaves):
+    tree = token_counts.SumTree.of(np.array(leaves, np.int64))
+    assert tree.total() == sum(leaves)
+    for i in range(len(leaves)):
+        tree.put(i, leaves[i] * 2 + 1)
+    assert tree.total() == 2 * sum(leaves) + len(leaves)
+    assert tree.node[1:].tolist() == token_counts.SumTree.of(tree.leaves().copy()).node[1:].tolist()
 
 
 def test_masks():
@@ -58,10 +69,33 @@ def test_masks():
 
 def test_edit_touches_little():
     text = "one two three " * 5_000
-    counted = token_counts.CountedText(text, COUNTS)
-    after = counted.edit([(30_000, 30_003, "four five")])
+    counted = token_counts.CountedText.of(text, COUNTS)
+    after = counted.edit([(30_000, 30_003, "four five")], COUNTS)
     assert counted.tree.total() == len(LIB.encode_ordinary(after))
-    assert counted.n_reencoded < 12
+    assert counted.n_reencoded() < 12
+
+
+def test_stored_trees_are_edited_again(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (2, "x"), (None, "no id"), (4, ""), (5, "as it is")], "doc_id long, text string")
+    token_counts.build_trees(docs, PATH, public_tokenizers.PATTERN).write.parquet(f"{tmp_path}/0")
+    rounds = [
+        [(1, 4, 7, "2"), (1, 0, 0, "zero "), (2, 0, 0, "y z "), (4, 0, 0, "no longer empty"), (9, 0, 1, "none"), (None, 0, 1, "?"), (5, None, 1, "?")],
+        [(1, 5, 8, None), (4, 2, 9, ""), (2, 0, 1, "12345")],
+    ]
+    for i, edits in enumerate(rounds):
+        trees = spark.read.parquet(f"{tmp_path}/{i}")
+        table = spark.createDataFrame(edits, "doc_id long, start int, end int, new string").withColumn("text", bpe_extra())
+        token_counts.apply_edits(trees, PATH, public_tokenizers.PATTERN, table).write.parquet(f"{tmp_path}/{i + 1}")
+    rows = spark.read.parquet(f"{tmp_path}/2").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, "no id"), (1, "zero  2 three"), (2, "12345 z "), (2, "12345 z x"), (4, "no empty"), (5, "as it is")]
+    for r in rows:
+        own = token_counts.CountedText.of(r.text, COUNTS)
+        assert (r.text, bytes(r.ends), bytes(r.nodes)) == own.row()
+        assert r.n_tokens_after == own.tree.total() == len(LIB.encode_ordinary(r.text)) and r.n_chars_after == len(r.text)
+    assert {r.doc_id: r.n_reencoded for r in rows}[5] == 0
+    with pytest.raises(Exception, match="overlaps"):
+        bad = spark.createDataFrame([(1, 0, 5, ""), (1, 3, 6, "")], "doc_id long, start int, end int, new string")
+        token_counts.apply_edits(spark.read.parquet(f"{tmp_path}/2"), PATH, public_tokenizers.PATTERN, bad).collect()
 
 
 def test_frames(spark):
