@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, session, stored, tidy
+from tracewright.llm.common import as_bytes, mark, release, session, stored, tidy
 
 #: Strings of LENGTH bytes are removed; those of SHORTER bytes, about 50 words of prose, are reported too.
 LENGTH, SHORTER = 400, 250
@@ -292,22 +292,30 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, shorter: int | None =
 
     spark = session(docs)
     keyed = _keyed(docs)
+    # What a later stored table stands for is deleted at once: places of all runs take as much disk as the texts.
+    start = mark(spark)
     found = stored(keyed.mapInArrow(tidy(run), "d long, r long, key long, wa long, wb long, first int, last int, long int, anchor int"))
     # Stored, so that the join deals out both sides anew and Spark can split the runs of a frequent anchor.
     alike = (F.min("wa") == F.max("wa")) & (F.min("wb") == F.max("wb"))
     shared = stored(found.groupBy("key").agg(F.count("*").alias("c"), alike.alias("alike")).filter("c > 1").select("key", "alike"))
     here = stored(found.join(shared, "key"))
+    release(spark, start, mark(spark) - 1)
+    start = mark(spark) - 1
     place = ["d", "r", "first", "last", "long", "anchor"]
     mixed = here.filter("not alike").drop("alike")
     distinct = stored(mixed.groupBy("key", "wa", "wb").agg(F.count("*").alias("c"), F.min(F.struct(*place)).alias("at")))
     # Joins with frequent keys are stored on their own: within a larger plan Spark does not split them.
     several = stored(mixed.join(distinct.filter("c > 1").select("key", "wa", "wb"), ["key", "wa", "wb"]).select(*place))
-    whole = here.filter("alike").select(*place).unionByName(several)
+    whole = stored(here.filter("alike").select(*place)).unionByName(several)
+    release(spark, start, start + 1)
+    start += 1
     ranges = F.array(*(F.struct(F.lit(z).alias("size"), "first", (F.col("long") if z == length else F.col("last")).alias("last")) for z in sizes))
     whole = whole.select("d", "r", F.explode(ranges).alias("x")).select("d", "r", "x.*").filter("last >= first")
 
     many = stored(distinct.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_RUNS))
     wanted = stored(distinct.join(many, "key", "left").select("key", "n", (F.col("c") == 1).alias("open"), "at.*"))
+    release(spark, start, start + 1)
+    start = mark(spark) - 2
     wanted = wanted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("d", "r", "first"), F.ceil(F.col("n") / BLOCK_RUNS)), F.lit(0)).cast("int"))
     asked = wanted.groupBy("d", "r").agg(F.collect_list(F.struct("key", "salt", F.col("n").isNotNull().alias("dealt"), "open", "first", "last", "long", "anchor")).alias("asked"))
     names = ["key", "salt", "dealt", "open", "d", "r", "first", "last", "long", "anchor"]
@@ -363,6 +371,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, shorter: int | None =
             yield from out()
 
     blocks = stored(dealt.mapInArrow(tidy(sort_blocks), BLOCK_ROWS))
+    release(spark, start, start + 2)  # many and wanted
     places = "d long, r long, size int, first int, last int"
     within = blocks.filter("bucket < 0").mapInArrow(tidy(_unpacked), places)
     across = blocks.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_across), places)
