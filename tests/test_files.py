@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import dataset, facts
+from tracewright.operators import dataset, facts, graph
 from tracewright.sources import files, logs
 from tracewright.streaming import tail
 
@@ -152,6 +152,12 @@ def test_reply_counts(spark):
     assert facts.extraction_counts(df, ["k"]).first().asDict() == {"replies": 6, "blank": 1, "with_object": 3, "items": 6, "facts": 3, "left_out": 3}
 
 
+def test_prompt_names_the_graphs_relations(spark):
+    prompt = spark.range(1).select(facts.extraction_prompt(F.lit("T"), F.lit("web"), F.lit("http://x"), F.lit("{chunk}"))).first()[0]
+    assert all(p in prompt for p in graph.TYPED)
+    assert prompt.endswith("Source title: T\nSource type: web\nSource locator: http://x\n\nText chunk:\n{chunk}")
+
+
 def test_fact_pipeline(spark):
     pages = spark.createDataFrame([("http://x/Big_Radar/", "<title>Radar - Wikipedia</title><p>text</p>"), ("http://x/Big_Radar/", "")], "url string, html string")
     docs = files.read_pages(pages)

@@ -205,3 +205,13 @@ def test_links_and_probes(spark):
     n, e = graph_of(spark, [("a", "X", "N", {}), ("b", "Y", "n", {}), ("c", "Y", "m", {})], [("a", "T", "c", None)])
     assert [(r.src, r.dst) for r in graph.link_by_name(n).collect()] == [("a", "b")]
     assert [(r.id, r.neighbour) for r in graph.probe_neighbours(n, e, n.filter("id = 'c'")).collect()] == [("c", "N")]
+
+
+def test_shared_ids_are_an_error(spark):
+    schema = "id string, labels array<string>, name string, aliases array<string>, props map<string,string>"
+    sound = spark.createDataFrame([("a", ["Entity"], "A", [], {"k": "v"}), ("b", [], None, None, None), (None, [], "x", [], {})], schema)
+    key = lambda r: str(r.id)
+    assert sorted(graph.unique_nodes(sound).collect(), key=key) == sorted(sound.collect(), key=key)
+    assert graph.unique_nodes(sound.limit(0)).count() == 0
+    with pytest.raises(Exception, match="more than one node has the id b"):
+        graph.unique_nodes(sound.union(sound.filter("id = 'b'"))).collect()

@@ -33,7 +33,7 @@ def _write_graph(spark: SparkSession, path: str, new: tuple[DataFrame, DataFrame
     """Merges with the graph at path, unless it is to be replaced; the new one is complete before it takes its place."""
     parts = [new] if replace or not os.path.exists(f"{path}/nodes") else [_read_graph(spark, path), new]
     nodes, edges = graph.merge_graphs(*parts)
-    for name, df in (("nodes", nodes), ("edges", edges)):
+    for name, df in (("nodes", graph.unique_nodes(nodes)), ("edges", edges)):
         df.write.mode("overwrite").parquet(f"{path}/{name}.new")
     counts = {}
     for name in ("nodes", "edges"):

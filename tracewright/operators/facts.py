@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions import fixed
 from tracewright.functions.values import optional_double, strip
 from tracewright.sources.logs import explode_objects, objects_in_reply
 
@@ -70,15 +71,42 @@ def explode_chunks(documents: DataFrame, size: int, overlap: int, text: str = "t
     return documents.select("*", F.posexplode(chunks(squeezed, size, overlap)).alias("chunk_index", "chunk"))
 
 
+def _families() -> str:
+    """The relation names that the graph gives labels or typed edges, by what they say."""
+    quantities = [p for p in fixed.PLATFORM_PREDICATES if p.endswith(("_KT", "_M", "_PROFILE"))]
+    families = [
+        ("names, kinds, and what tells one from another", fixed.OTHER_PREDICATES),
+        ("variants and carriers", fixed.PLATFORM_OBJECT_PREDICATES),
+        ("radars, emitters and how they work", fixed.SENSOR_PREDICATES),
+        ("who uses it", [*fixed.OPERATOR_PREDICATES, *fixed.COUNTRY_PREDICATES]),
+        ("where it is", fixed.LOCATION_PREDICATES),
+        ("speeds and heights", quantities),
+    ]
+    known = {p for _, own in families for p in own}
+    return "\n".join(f"- {what}: {', '.join(own)}" for what, own in [*families, ("equipment", [p for p in fixed.PLATFORM_PREDICATES if p not in known])])
+
+
 def extraction_prompt(title: Column, kind: Column, locator: Column, chunk: Column) -> Column:
-    """The request for facts from a chunk, as one JSON object."""
-    head = (
-        "Read the text chunk and list what it states about platforms, sensors, emitters, operators, kinematics and places.\n"
-        'Answer with one JSON object and nothing else: {"facts":[{"subject":"...","predicate":"UPPER_SNAKE_CASE","object":"...","evidence":"...","confidence":0.0}]}\n'
-        'With nothing to state, answer {"facts":[]}. Many small facts are better than a few broad ones; state none that the chunk does not support.\n'
-        "Maximum speeds go to MAX_SPEED_KT in knots, ceilings to SERVICE_CEILING_M in metres; keep the units. Operators count only where the chunk says they are current.\n"
-        "A radar or other emitter is no platform; name its carrier as the platform where the chunk does."
-    )
+    """The request for facts from a chunk, as one JSON object. The relations it names are those that the graph knows."""
+    head = f"""Read the text chunk and list what it states about platforms, sensors, emitters, operators, kinematics and places.
+
+Form of the answer: one JSON object that a strict parser reads, with no text, fence or comment around it:
+{{"facts":[{{"subject":"...","predicate":"UPPER_SNAKE_CASE","object":"...","evidence":"...","confidence":0.0}}]}}
+With nothing to state, answer {{"facts":[]}}. Evidence is a short quotation or a close rendering. Confidence, from 0 to 1, says how plainly the chunk states the fact.
+
+Relations, preferably:
+{_families()}
+Where none of them fits, name one as specific in the same style.
+
+What to look for:
+- Many small facts about all the subjects of the chunk rather than a few broad ones about the first; some 8 to 20 where it holds as many, fewer where it is thin.
+- What ties a radar or emitter, under each of its names, to the types and variants that carry it, and these to their operators' countries, usual speeds and heights, and areas. Observations to be matched later hold an emitter's name, type and role, a position, heading, height and speed, a kind of target and how far it was classified.
+- Limits: the highest speed is MAX_SPEED_KT, in knots where the chunk gives them; ceilings are SERVICE_CEILING_M or MAX_ALTITUDE_M, in metres where it gives them. Otherwise keep the unit in the object.
+
+What to leave out:
+- Anything the chunk does not support, repeats, and objects that say nothing.
+- From an encyclopedia, operators, countries and bases that are not clearly given as present ones, such as under a heading of current operators. Former operators, histories, purchases, captions and summary boxes do not count.
+- Platforms that are none: a platform moves or holds people, weapons or sensors. A radar, missile, subsystem or bare designation stays what it is, also where an aircraft carries it; only a carrier that the chunk names is a platform."""
     return F.concat(F.lit(head + "\n\nSource title: "), title, F.lit("\nSource type: "), kind, F.lit("\nSource locator: "), locator, F.lit("\n\nText chunk:\n"), chunk)
 
 

@@ -102,6 +102,13 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def unique_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes; an id that two of them share is an error when they are written or read. Null ids count as one id."""
+    counted = nodes.groupBy("id").agg(F.count("*").alias("n"), F.first(F.struct(*(c for c in nodes.columns if c != "id"))).alias("row"))
+    clash = F.concat(F.lit("more than one node has the id "), F.coalesce("id", F.lit("null")))
+    return counted.filter(F.assert_true(F.col("n") == 1, clash).isNull()).select("id", "row.*").select(*nodes.columns)
+
+
 def relationship_counts(edges: DataFrame) -> DataFrame:
     """type and n, the most frequent first, then by name."""
     return edges.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "type")
