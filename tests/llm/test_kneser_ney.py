@@ -53,13 +53,15 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("per_task", [20, 6_000_000])
-def test_against_brute_force(spark, monkeypatch, per_task):
+@pytest.mark.parametrize(("per_task", "per_bucket", "held"), [(20, 1 << 27, 4_000_000), (20, 100, 5), (6_000_000, 1 << 27, 4_000_000)])
+def test_against_brute_force(spark, monkeypatch, per_task, per_bucket, held):
     rng = np.random.default_rng(1)
     vocab = [f"w{i}" for i in range(40)] + ["É", "Ab"]
     rows = [(i, " ".join(rng.choice(vocab, size=rng.integers(0, 25), p=np.arange(42, 0, -1) / 903).tolist())) for i in range(150)]
     rows += [(900, None), (901, ""), (None, "w1 new"), (902, "\x0b\x1c w1\x85"), (3, rows[3][1])]
     monkeypatch.setattr(kn, "TASK_TOKENS", per_task)
+    monkeypatch.setattr(kn, "BUCKET_BYTES", per_bucket)
+    monkeypatch.setattr(kn, "HELD_ENTRIES", held)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as bucket").repartition(3)
     got = sorted(map(tuple, kn.score_corpus(df).collect()), key=lambda r: str(r[:5]))
     want = sorted(brute(rows), key=lambda r: str(r[:5]))

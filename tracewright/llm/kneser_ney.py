@@ -11,6 +11,7 @@ task. A bucket's arrays are merged and written to the shared folder as one sorte
 
 Workers map the files into memory and look up a batch's distinct bigrams, sorted, so that lookups walk the arrays once.
 The files grow with the corpus; they are never loaded whole. Order 2 is what the disk limits leave room for.
+Buckets are as many as the text asks for, so that one fits a task at any size, and each is a task of its own.
 
 With c counts, D discounts of counts 1, 2 and 3 or more, and V known tokens:
 p(w | v) = (c(vw) - D(c(vw))) / c(v) + gamma(v) p1(w), p1(w) = (n(w) - D1(n(w))) / N + gamma1 / (V + 1), where n(w) is the
@@ -35,6 +36,8 @@ from tracewright.llm.words import Hashes, space_words
 
 #: Tokens counted before a task packs and sends them.
 TASK_TOKENS = 6_000_000
+#: Bytes of text whose counts make a bucket, and entries that a bucket holds before it sums them up.
+BUCKET_BYTES, HELD_ENTRIES = 128 << 20, 4_000_000
 #: Stand for the end of a text, for its start as a context, and for words not in the model.
 END_WORD = b"\n"
 START, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
@@ -78,21 +81,36 @@ def _packed(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> Iterato
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of packed rows sorted by bucket: each bucket with its sorted keys and summed counts."""
-    bucket, keys, counts = None, [], []
+    """Of packed rows sorted by bucket: each bucket with its sorted keys and summed counts.
+
+    What is held is summed up whenever it has doubled, so it follows the bucket's distinct keys and not the tasks that
+    sent them.
+    """
+    bucket, keys, counts, held, limit = None, [], [], 0, HELD_ENTRIES
     for batch in batches:
         for i in range(batch.num_rows):
             b = batch.column("bucket")[i].as_py()
             if bucket is not None and b != bucket:
                 yield bucket, *_summed(np.concatenate(keys), np.concatenate(counts))
-                keys, counts = [], []
+                keys, counts, held, limit = [], [], 0, HELD_ENTRIES
             bucket = b
             keys.append(np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint64))
             counts.append(np.frombuffer(batch.column("counts")[i].as_buffer(), np.uint32).astype(np.int64))
+            held += len(keys[-1])
+            if held > limit:
+                one = _summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, held = [one[0]], [one[1]], len(one[0])
+                limit = max(HELD_ENTRIES, 2 * held)
     if bucket is not None:
         yield bucket, *_summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def _buckets(texts: DataFrame) -> int:
+    """Enough for BUCKET_BYTES of text in each, and for the session's tasks."""
+    size = texts.selectExpr("coalesce(sum(octet_length(text)), 0) n").first().n
+    return max(4, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 class Files:
     """The arrays of a model in the shared folder, mapped into memory."""
 
@@ -203,8 +221,9 @@ def fit(docs: DataFrame, path: str | None = None) -> str:
         keep_until_release(spark, path)
     path = _local(path)
     os.makedirs(path)
-    buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.selectExpr("cast(text as string) text")
+    buckets = _buckets(texts)
+    steps = max(9, min(65, 8192 // buckets))  # what a bucket tells the driver is less where there are many
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hashes, n = Counter(), Hashes(), 0
@@ -229,11 +248,11 @@ def fit(docs: DataFrame, path: str | None = None) -> str:
             _write(f"{path}/count-{b}.npy", counts)
             # Where to cut the bigrams: the tokens' running sum at steps of this bucket's words.
             upto = np.cumsum(counts)
-            at = np.unique(np.concatenate([np.searchsorted(upto, np.linspace(0, upto[-1], 65)[1:]), np.argsort(-counts)[:8]]))
+            at = np.unique(np.concatenate([np.searchsorted(upto, np.linspace(0, upto[-1], steps)[1:]), np.argsort(-counts)[:8]]))
             at = at[at < len(keys)]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(upto[-1])], pa.int64()), pa.array([at.astype(np.int64)], pa.list_(pa.int64())), pa.array([upto[at]], pa.list_(pa.int64()))], names=["bucket", "words", "tokens", "at", "upto"])
 
-    packed = texts.mapInArrow(tidy(words), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    packed = texts.mapInArrow(tidy(words), PACKED).repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     found = {r.bucket: r for r in packed.mapInArrow(tidy(keep_words), "bucket int, words long, tokens long, at array<long>, upto array<long>").collect()}  # a row a bucket
     sizes = [found[b].words if b in found else 0 for b in range(buckets)]
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -318,8 +337,8 @@ def fit(docs: DataFrame, path: str | None = None) -> str:
         if bucket is not None:
             yield keep()
 
-    counted = texts.mapInArrow(tidy(bigrams), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    stats = counted.mapInArrow(tidy(keep_bigrams), "bucket int, kind int, ids binary, rows binary, of array<long>").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    counted = texts.mapInArrow(tidy(bigrams), PACKED).repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    stats = counted.mapInArrow(tidy(keep_bigrams), "bucket int, kind int, ids binary, rows binary, of array<long>").repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     rows = stats.mapInArrow(tidy(keep_stats), "before array<long>, of array<long>").collect()  # a row a bucket
     before = np.sum([r.before for r in rows], 0) if rows else np.zeros(6, np.int64)
     of = np.sum([r.of for r in rows], 0) if rows else np.zeros(4, np.int64)
