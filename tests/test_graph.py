@@ -1,7 +1,11 @@
+import random
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import graph, hypotheses, observations, trails
+from tracewright.plans import queries
 
 PROPS = "map<string,string>"
 NODE = f"id string, labels array<string>, name string, aliases array<string>, props {PROPS}"
@@ -35,6 +39,40 @@ def test_self_loop_and_types(spark):
     assert lengths(trails.trails(starts(spark, "a"), e, 3, types=["Y"])) == {1: 1}
 
 
+def test_trail_counts_are_those_of_trails(spark):
+    rng = random.Random(5)
+    # A pair apart, a star with a loop at its hub, a double edge, ids that are null or used twice, and random edges.
+    edges = [("p", "q"), ("h", "h"), ("h", "l1"), ("l2", "h"), ("h", "l3"), ("d", "l1"), ("m", "o"), ("m", "o"), ("o", "w"), ("x", "o")]
+    edges += [(f"r{rng.randrange(7)}", f"r{rng.randrange(7)}") for _ in range(9)] + [(f"r{k % 4}", f"z{k}") for k in range(9)]
+    rows = [(f"e{k}", s, d, rng.choice("XXY"), None, {}) for k, (s, d) in enumerate(edges)]
+    rows += [(None, "h", "n1", "X", None, {}), ("e1", "h", "n2", "X", None, {}), ("e9", "r0", "n3", "X", None, {}), ("f", "h", None, "X", None, {})]
+    e = spark.createDataFrame(rows, EDGE)
+    ids = sorted({x for r in rows for x in r[1:3] if x}) + ["l2", "h", "nowhere"]
+    s = starts(spark, *ids, None)
+    for hops, types in ((4, None), (1, None), (3, ["X"])):
+        listed = trails.trails(s, e, hops, types).groupBy("start", "length").agg(F.count("*").alias("n"), F.countDistinct("node").alias("ends"))
+        got = trails.trail_counts(s, e, hops, types)
+        assert got.columns == listed.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_trails_1_4_with_many_suppliers(spark, tmp_path):
+    """Some 16 billion trails, which nobody can list in the time given."""
+    size = 200_000
+    spark.range(5).selectExpr("cast(id as int) r_regionkey", "'r' r_name").write.parquet(str(tmp_path / "region.parquet"))
+    spark.range(25).selectExpr("cast(id as int) n_nationkey", "cast(id % 5 as int) n_regionkey", "'n' n_name").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(size).selectExpr("id s_suppkey", "cast(id % 25 as int) s_nationkey", "'s' s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(5).selectExpr("id c_custkey", "cast(id as int) c_nationkey", "'c' c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        rows = queries.trails_1_4(spark, str(tmp_path)).groupBy("length", "n", "ends").agg(F.count("*").alias("starts")).collect()
+    finally:
+        late.cancel()
+    each = size // 25
+    assert sorted(map(tuple, rows)) == [(1, 1, 1, size), (2, each, each, size), (3, 4, 4, size), (4, 4 * each, 4 * each, size)]
+
+
 def features(spark, nodes, edges, requests):
     n, e = graph_of(spark, nodes, edges)
     r = spark.createDataFrame([("s", c, "t", h) for c, h in requests], "scenario_id string, contact_id string, observation_time string, hypothesis string")

@@ -44,6 +44,47 @@ def trails(starts: DataFrame, edges: DataFrame, hops: int = 4, types: list[str]
     return out
 
 
+def _profiles(roots: DataFrame, core: DataFrame, held: DataFrame, hops: int) -> DataFrame:
+    """start, length from 0 to hops, n and ends of the trails from roots(start) over core edges, and perhaps one edge to a
+    leaf at the end; own and own_end: how many of them end at any one leaf of the start itself, and whether any does.
+    """
+    at = roots.select("start", F.col("start").alias("node"), F.lit(0).alias("length"))
+    if hops:
+        at = at.unionByName(trails(roots, core, hops).select("start", "node", "length"))
+    at = at.groupBy("start", "length", "node").agg(F.count("*").alias("n"))
+    back, none = F.col("node") == F.col("start"), F.lit(0).cast("long")
+    inner = at.select("start", "length", "n", F.col("node").isNotNull().cast("long").alias("ends"), none.alias("own"), none.alias("own_end"))
+    outer = at.filter(F.col("length") < hops).join(held, F.col("node") == F.col("hub"))
+    outer = outer.select("start", (F.col("length") + 1).alias("length"), (F.col("n") * F.col("leaves")).alias("n"), F.col("leaves").alias("ends"), F.when(back, F.col("n")).otherwise(none).alias("own"), back.cast("long").alias("own_end"))
+    return inner.unionByName(outer).groupBy("start", "length").agg(*(F.sum(c).alias(c) for c in ("n", "ends", "own", "own_end")))
+
+
+def trail_counts(starts: DataFrame, edges: DataFrame, hops: int = 4, types: list[str] | None = None) -> DataFrame:
+    """start, length, n, ends: the number of trails() of each length, and of the nodes they end at; exact.
+
+    Trails that begin or end at a leaf are not listed. A leaf is a node whose one edge leads to a node with more, its hub;
+    trails meet it only at their ends. So only trails between other nodes are listed, from starts and from hubs of starts;
+    leaves at their ends are counted by hub, and the trails from a leaf are those from its hub, one edge longer, less those
+    that end at the leaf itself. Trails between other nodes grow with their degrees among each other.
+    """
+    own = (edges.filter(F.col("type").isin(types)) if types else edges).filter("eid is not null")
+    degree = both_ways(own).groupBy("a").agg(F.count("*").alias("degree"), F.min("eid").alias("eid"), F.min("b").alias("hub"))
+    once = own.groupBy("eid").agg(F.count("*").alias("k")).filter("k = 1")
+    hubs = degree.filter("degree > 1").select(F.col("a").alias("hub"))
+    found = degree.filter("degree = 1").join(once, "eid", "left_semi").join(hubs, "hub", "left_semi").select(F.col("a").alias("leaf"), "eid", "hub")
+    # Stored, as every hop reads it.
+    marked = own.select("eid", "src", "dst").join(found, "eid", "left").localCheckpoint()
+    core, leaves = marked.filter("leaf is null"), marked.filter("leaf is not null").select("leaf", "hub")
+    held = leaves.groupBy("hub").agg(F.count("*").alias("leaves"))
+    asked = starts.groupBy("start").agg(F.count("*").alias("times"))
+    plain = asked.join(leaves, F.col("start") == F.col("leaf"), "left_anti")
+    counts = plain.join(_profiles(plain.select("start"), core, held, hops), "start").filter("length > 0").select("start", "length", F.col("n") * F.col("times"), "ends")
+    at_leaf = asked.join(leaves, F.col("start") == F.col("leaf")).select(F.col("start").alias("leaf"), "times", F.col("hub").alias("start"))
+    longer = at_leaf.join(_profiles(at_leaf.select("start").distinct(), core, held, hops - 1), "start").filter("n > own")
+    longer = longer.select("leaf", F.col("length") + 1, (F.col("n") - F.col("own")) * F.col("times"), F.col("ends") - F.col("own_end"))
+    return counts.union(longer).toDF("start", "length", "n", "ends")
+
+
 def neighbourhood_features(requests: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     """Raw features for requests(scenario_id, contact_id, observation_time, hypothesis), all in one plan.
 
