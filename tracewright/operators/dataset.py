@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,8 +71,9 @@ def _check(train: float, val: float) -> None:
 
 
 def split_by_hash(examples: DataFrame, id_col: str, train: float, val: float, seed: int) -> DataFrame:
-    """examples with split. Exact sizes (train int(n * f), val likewise, the rest test), in the order of a hash of id and
-    seed.
+    """examples with split. Exact sizes (train n * f without its fraction, val likewise, the rest test), in the order of a
+    hash of id and seed. f counts as the decimal that it is written as: 0.7 of 720,000 are 504,000, where the product of
+    floats is less.
 
     The order is found without sorting the rows: they are counted by the leading digits of their hash, only the two
     buckets that hold a cut are ranked, and the rows at the cuts bound the splits in one narrow pass.
@@ -83,7 +85,8 @@ def split_by_hash(examples: DataFrame, id_col: str, train: float, val: float, se
     counts = sorted((r["_b"], r["_n"]) for r in keyed.groupBy("_b").agg(F.count("*").alias("_n")).collect())
     n = sum(size for _, size in counts)
     wanted, upto = {}, 0  # by bucket: the places in it of the first rows beyond train, and beyond val
-    cuts = [("train", int(n * train)), ("val", int(n * train) + int(n * val))]
+    share = lambda f: int(n * Fraction(str(f)))
+    cuts = [("train", share(train)), ("val", share(train) + share(val))]
     for bucket, size in counts:
         for name, at in cuts:
             if upto <= at < upto + size:
@@ -101,7 +104,8 @@ def split_by_hash(examples: DataFrame, id_col: str, train: float, val: float, se
 
 
 def split_by_shuffle(examples: DataFrame, index: str, n: int, train: float, val: float, seed: int) -> DataFrame:
-    """examples with split, by the standard library's seeded shuffle of 0..n-1 (index is a row's place, from 0).
+    """examples with split, by the standard library's seeded shuffle of 0..n-1 (index is a row's place, from 0). Sizes are
+    products of floats, as in scripts that shuffle so.
 
     The permutation is made on the driver: for sets that scripts could shuffle in memory. split_by_hash() has no bound.
     """
