@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.fixed import FEATURE_SCHEMA, SUPPORT_TYPES
 from tracewright.functions.probability import contradiction_ratio, recency
 from tracewright.functions.values import bounded, evidence_query_id, non_negative, optional_double
+from tracewright.llm.common import cut
 
 SCORES = ["mean_source_reliability", "recency", "emission_match_score", "kinematic_match_score", "contradiction_score"]
 COUNTS = ["supporting_path_count", "contradicting_path_count", "shortest_path_to_platform_class"]
@@ -72,8 +73,8 @@ def trail_counts(starts: DataFrame, edges: DataFrame, hops: int = 4, types: list
     once = own.groupBy("eid").agg(F.count("*").alias("k")).filter("k = 1")
     hubs = degree.filter("degree > 1").select(F.col("a").alias("hub"))
     found = degree.filter("degree = 1").join(once, "eid", "left_semi").join(hubs, "hub", "left_semi").select(F.col("a").alias("leaf"), "eid", "hub")
-    # Stored, as every hop reads it.
-    marked = own.select("eid", "src", "dst").join(found, "eid", "left").localCheckpoint()
+    # Stored in the shared folder, as every hop reads it.
+    marked = cut(own.select("eid", "src", "dst").join(found, "eid", "left"))
     core, leaves = marked.filter("leaf is null"), marked.filter("leaf is not null").select("leaf", "hub")
     held = leaves.groupBy("hub").agg(F.count("*").alias("leaves"))
     asked = starts.groupBy("start").agg(F.count("*").alias("times"))
