@@ -116,6 +116,14 @@ def test_splits(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "d/manifest")).first()[0])["num_examples"] == 50
 
 
+def test_split_of_copies(spark):
+    """Rows of one id are dealt out by what they hold, whatever their order."""
+    rows = spark.range(20).select(F.lit("a").alias("id"), F.col("id").alias("x"))
+    parts = [{(r.x, r.split) for r in dataset.split_by_hash(df, "id", 0.7, 0.15, 1).collect()} for df in (rows, rows.orderBy(F.desc("x")))]
+    assert parts[0] == parts[1] and len(parts[0]) == 20
+    assert sorted(s for _, s in parts[0]) == ["test"] * 3 + ["train"] * 14 + ["val"] * 3
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([("abcdefghij",), ("",), (None,), ("ab  c",)], "text string")
     got = [(r.text, r.chunk_index, r.chunk) for r in facts.explode_chunks(df, 6, 2).collect()]

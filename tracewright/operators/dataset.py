@@ -16,6 +16,7 @@ LABEL_FIELDS = ["posture", "actual_side", "side"]
 TEXTS = {"record_kind": "record_kind", "observer_side": "side", "track_type": "type", "track_subtype": "subtype", "class_name": "class_name", "dbid": "dbid"}
 NUMBERS = ["latitude", "longitude", "altitude_m", "speed_kts", "heading_deg", "course_deg"]
 MORE_TEXTS = ["identification_status", "detected_by"]
+SPLITS = ["train", "val", "test"]
 
 
 def choose_label(fields: list[Column]) -> Column:
@@ -39,14 +40,17 @@ def build_examples(records: DataFrame, label_fields: list[str] = LABEL_FIELDS) -
     The id is the record's guid; without one, a hash of file, line and record.
     """
     get = lambda n: F.try_variant_get("record", f"$.{n}", "string")
-    guid = clean_text(get("guid"))
-    hashed = F.substring(F.sha1(F.concat_ws(":", F.col("path"), F.col("line").cast("string"), spaced_json(F.col("text")))), 1, 16)
-    return records.select(
-        F.when(guid != "unknown", guid).otherwise(hashed).alias("id"),
+    # One row a record. Filters by id or label stay above a generator; further down they would parse a record once for each use.
+    read = records.select("*", F.inline(F.array(F.struct(clean_text(get("guid")).alias("_guid"), choose_label([get(f) for f in label_fields]).alias("_label")))))
+    named = F.col("_guid") != "unknown"
+    text = F.when(~named, F.col("text"))
+    hashed = F.substring(F.sha1(F.concat_ws(":", F.col("path"), F.col("line").cast("string"), spaced_json(text))), 1, 16)
+    return read.select(
+        F.when(named, F.col("_guid")).otherwise(hashed).alias("id"),
         F.col("path").alias("source_file"),
         F.col("line").alias("source_line"),
         clean_text(get("name")).alias("name"),
-        choose_label([get(f) for f in label_fields]).alias("label"),
+        F.col("_label").alias("label"),
         features(get).alias("features"),
         F.col("record").alias("raw"),
     )
@@ -73,10 +77,10 @@ def _check(train: float, val: float) -> None:
 def split_by_hash(examples: DataFrame, id_col: str, train: float, val: float, seed: int) -> DataFrame:
     """examples with split. Exact sizes (train n * f without its fraction, val likewise, the rest test), in the order of a
     hash of id and seed. f counts as the decimal that it is written as: 0.7 of 720,000 are 504,000, where the product of
-    floats is less.
+    floats is less. Rows of one id that a cut falls among are dealt out in the order of their JSON.
 
-    The order is found without sorting the rows: they are counted by the leading digits of their hash, only the two
-    buckets that hold a cut are ranked, and the rows at the cuts bound the splits in one narrow pass.
+    The order is found without sorting the rows: they are counted by the leading digits of their hash, only the ids of the
+    two buckets that hold a cut are ranked, and the ids at the cuts bound the splits in one narrow pass.
     """
     _check(train, val)
     digest = lambda: F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")), 256)
@@ -92,15 +96,36 @@ def split_by_hash(examples: DataFrame, id_col: str, train: float, val: float, se
             if upto <= at < upto + size:
                 wanted.setdefault(bucket, []).append((name, at - upto))
         upto += size
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_id")) - 1
+    # Places of an id's rows: from _r to below _end.
+    end = F.sum("_n").over(Window.partitionBy("_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = F.lit(False)
     for bucket, places in wanted.items():
-        at = at | ((F.col("_b") == bucket) & F.col("_r").isin([k for _, k in places]))
-    ranked = keyed.filter(F.col("_b").isin(list(wanted))).withColumn("_r", rank).filter(at)
-    found = {(r["_b"], r["_r"]): (r["_h"], r["_id"]) for r in ranked.collect()}  # two rows
-    bound = {name: found[bucket, k] for bucket, places in wanted.items() for name, k in places}
-    below = lambda name: (F.col("_h") < bound[name][0]) | ((F.col("_h") == bound[name][0]) & (F.col(id_col) < F.lit(bound[name][1]))) if name in bound else F.lit(True)
-    return examples.withColumn("_h", digest()).withColumn("split", F.when(below("train"), "train").when(below("val"), "val").otherwise("test")).drop("_h")
+        for _, k in places:
+            at = at | ((F.col("_b") == bucket) & (F.col("_r") <= k) & (F.lit(k) < F.col("_end")))
+    ids = keyed.filter(F.col("_b").isin(list(wanted))).groupBy("_b", "_h", "_id").agg(F.count("*").alias("_n"))
+    found = ids.withColumn("_end", end).withColumn("_r", F.col("_end") - F.col("_n")).filter(at).collect()  # two rows
+    bound, dealt = {}, {}  # by cut: the hash and id of the row there; how many rows of that id come before it
+    for bucket, places in wanted.items():
+        for name, k in places:
+            r = next(r for r in found if r["_b"] == bucket and r["_r"] <= k < r["_end"])
+            bound[name], dealt[name] = (r["_h"], r["_id"]), k - r["_r"]
+
+    def split(rows: DataFrame, nth: Column | None = None) -> DataFrame:
+        def below(name: str) -> Column:
+            if name not in bound:
+                return F.lit(True)
+            h, key = bound[name]
+            same = F.col("_h") == h
+            first = same & (F.col(id_col) == F.lit(key)) & (nth <= dealt[name]) if nth is not None else F.lit(False)
+            return (F.col("_h") < h) | (same & (F.col(id_col) < F.lit(key))) | first
+
+        return rows.withColumn("_h", digest()).withColumn("split", F.when(below("train"), "train").when(below("val"), "val").otherwise("test")).drop("_h", "_nth")
+
+    shared = list({bound[name][1] for name, k in dealt.items() if k})
+    if not shared:
+        return split(examples)
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.to_json(F.struct(*examples.columns))))
+    return split(examples.filter(~F.col(id_col).isin(shared))).unionByName(split(examples.filter(F.col(id_col).isin(shared)).withColumn("_nth", nth), F.col("_nth")))
 
 
 def split_by_shuffle(examples: DataFrame, index: str, n: int, train: float, val: float, seed: int) -> DataFrame:
@@ -130,4 +155,5 @@ def manifest(splits: dict[str, int], n_labels: int, inputs: list[str], label_fie
 
 
 def split_sizes(examples: DataFrame) -> DataFrame:
-    return examples.groupBy("split").agg(F.count("*").alias("n"))
+    """split and n, 0 for a split without rows."""
+    return examples.agg(*(F.count_if(F.col("split") == s).alias(s) for s in SPLITS)).unpivot([], SPLITS, "split", "n")
